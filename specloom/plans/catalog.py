@@ -1,6 +1,6 @@
 """Collects every named query."""
 
-from . import mask_queries, radiometry_queries, rank_queries, spectral_queries, view_queries  # noqa: F401
+from . import mask_queries, model_queries, radiometry_queries, rank_queries, spectral_queries, view_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 
