@@ -1,6 +1,14 @@
 """Collects every named query."""
 
-from . import mask_queries, model_queries, radiometry_queries, rank_queries, spectral_queries, view_queries  # noqa: F401
+from . import (  # noqa: F401
+    mask_queries,
+    model_queries,
+    plate_queries,
+    radiometry_queries,
+    rank_queries,
+    spectral_queries,
+    view_queries,
+)
 from .registry import QUERIES, SQL
 
 
