@@ -6,6 +6,7 @@ from . import (  # noqa: F401
     plate_queries,
     radiometry_queries,
     rank_queries,
+    scalar_queries,
     spectral_queries,
     view_queries,
 )

@@ -16,8 +16,8 @@ KERNEL = "((r IN (0, 3) AND c IN (0, 6)) OR (r = 3 AND c = 3) OR (r = 2 AND c =
 k AS (SELECT *, CASE WHEN r IN (0, 3) AND c IN (0, 6) THEN 'rim' WHEN {KERNEL} THEN 'marker' ELSE 'kernel' END AS kind FROM g)
 SELECT n_nationkey, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, kind, 'R' || r || 'C' || c AS name,
   CAST(CASE WHEN kind = 'kernel' THEN sum((kind = 'kernel')::INT) OVER (PARTITION BY n_nationkey ORDER BY r, c ROWS UNBOUNDED PRECEDING) - 1 END AS INTEGER) AS index,
-  round(100.0 + n_nationkey + 74.0 * c, 6) AS x, round(50.0 + 134.0 * r, 6) AS y,
-  round(100.0 + n_nationkey + 74.0 * c - 37.0 * 1.1, 6) AS x0, CAST(greatest(floor(100.0 + n_nationkey + 74.0 * c - 37.0) - 2, 0) AS INTEGER) AS box_x0
+  round(100.0::DOUBLE + n_nationkey + 74.0 * c, 6) AS x, round(50.0::DOUBLE + 134.0 * r, 6) AS y,
+  round(100.0::DOUBLE + n_nationkey + 74.0 * c - 37.0 * 1.1, 6) AS x0, CAST(greatest(floor(100.0 + n_nationkey + 74.0 * c - 37.0) - 2, 0) AS INTEGER) AS box_x0
 FROM k""",
 )
 def plate_cells(t):
