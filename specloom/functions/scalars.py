@@ -117,7 +117,8 @@ def finite_or_null(x: Column | str) -> Column:
 
 
 def show_or_dash(x: Column | str, digits: int = 3) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", finite_or_null(as_col(x).cast("double"))), F.lit("-"))
+    v = finite_or_null(as_col(x).cast("double"))
+    return F.when(v.isNotNull(), F.format_string(f"%.{digits}f", v)).otherwise("-")
 
 
 def reanchor(recorded: Column | str, root: str, marker: str = "real_data") -> Column:
