@@ -103,6 +103,14 @@ def linear_scores(x: Column, b: Column, b0: Column) -> Column:
     return F.zip_with(F.transform(b, lambda w: dot(x, w)), b0, lambda s, c: s + c)
 
 
+def other_folds(folds: DataFrame, group: str) -> DataFrame:
+    """(group, outer) for every outer fold the group trains in."""
+    every = folds.agg(F.array_sort(F.collect_set("fold"))).scalar()
+    return folds.withColumn("__all", every).select(
+        group, F.explode(F.array_except("__all", F.array("fold"))).alias("outer")
+    )
+
+
 def latin_inner_folds(groups: DataFrame, keys: Sequence[str], stratum: str, group: str, n: int, seed: int) -> DataFrame:
     """Latin-square folds of a bounded group table, separately per ``keys``."""
     keyed = groups.withColumn("__key", seeded_key(group, seed))
@@ -159,9 +167,8 @@ def nested_cv(
     """
     per_set = F.posexplode("ys").alias("set", "y")
     rate = rows.select(group, stratum, per_set).groupBy("set", group, stratum).agg(F.avg("y").alias("rate"))
-    outer_ids = folds.select(F.col("fold").alias("outer")).distinct()
-    every = rate.join(folds.select(group, "fold"), group).join(F.broadcast(outer_ids), F.col("fold") != F.col("outer"))
-    inner = settle(latin_inner_folds(every.drop("fold"), ["set", "outer"], stratum, group, n_inner, seed))
+    every = rate.join(other_folds(folds, group), group)
+    inner = settle(latin_inner_folds(every, ["set", "outer"], stratum, group, n_inner, seed))
     # Task inner = -1 is the refit on the whole outer training set.
     holds = inner.select("set", "outer", group, F.col("inner").alias("held"))
     train = holds.select(
@@ -231,8 +238,7 @@ def plsda_cv(
     The component count is chosen per outer fold by inner balanced accuracy (ties:
     fewer components) on inner folds of whole groups.
     """
-    outer_ids = folds.select(F.col("fold").alias("outer")).distinct()
-    others = folds.select(group, "fold").join(F.broadcast(outer_ids), F.col("fold") != F.col("outer"))
+    others = other_folds(folds, group)
     dealt = settle(position(others.withColumn("__key", seeded_key(group, 0)), ["outer"], "__key", group, "__pos"))
     held = dealt.select("outer", group, (F.col("__pos") % n_inner).cast("int").alias("held"))
     train = held.select(

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MAX_RANGES = 4096
+MAX_RANGES = 1024
 
 
 def range_count(df: DataFrame) -> int:

@@ -137,7 +137,7 @@ def index_runs(df: DataFrame, keys: Sequence[str], index: str) -> DataFrame:
 
 
 def format_runs(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Text form "0-2, 7-8" of each key's runs, for reports."""
+    """Text form "0-2, 7-8" of each key's runs, for reports on bands or sensor rows."""
     one = F.when(F.col("first") == F.col("last"), F.col("first").cast("string")).otherwise(
         F.concat(F.col("first").cast("string"), F.lit("-"), F.col("last").cast("string"))
     )

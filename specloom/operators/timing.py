@@ -43,7 +43,7 @@ def origin(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
 def hours_between(start: str, end: str) -> Column:
     """Hours from one timestamp to another, microseconds kept, whatever the session zone."""
     seconds = (F.col(end) - F.col(start)).cast("interval second").cast("decimal(20,6)")
-    return seconds.cast("double") / F.lit(3600.0)
+    return (seconds * 1000000).cast("bigint").cast("double") / F.lit(3.6e9)
 
 
 def hours_since_origin(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
