@@ -189,25 +189,25 @@ def quad_segments(cells: DataFrame, keys: Sequence[str], h: str, w: str) -> Data
     Vertices are rounded first.  Input rows carry ``corners`` as (x = column, y = row)
     points plus the frame size; output (keys, c, r0, r1).
     """
-    pts = F.transform("corners", lambda p: F.struct(F.rint(p[0]).alias("x"), F.rint(p[1]).alias("y")))
-    flat = cells.withColumn("__p", pts).withColumn("__q", F.concat(F.slice("__p", 2, 3), F.slice("__p", 1, 1)))
-    edges = F.arrays_zip("__p", "__q")
-    xs = F.transform("__p", lambda p: p["x"])
-    lo, hi = F.greatest(F.array_min(xs), F.lit(0.0)), F.least(F.array_max(xs), F.col(w) - 1.0)
-    cols = flat.where(lo <= hi).select(*cells.columns, edges.alias("__e"), F.explode(F.sequence(lo.cast("bigint"), hi.cast("bigint"))).alias("c"))
-
-    def crossings(e):
-        x0, y0, x1, y1 = e["__p"]["x"], e["__p"]["y"], e["__q"]["x"], e["__q"]["y"]
-        spans = (F.least(x0, x1) <= F.col("c")) & (F.greatest(x0, x1) >= F.col("c"))
-        slope = F.when(x0 == x1, F.array(y0, y1)).otherwise(F.array(y0 + (y1 - y0) * F.try_divide(F.col("c") - x0, x1 - x0)))
-        return F.when(spans, slope).otherwise(F.array().cast("array<double>"))
-
-    ys = F.flatten(F.transform("__e", crossings))
-    out = cols.withColumn("__y", ys).select(
+    at = lambda i, k: F.rint(F.get(F.get("corners", F.lit(i)), F.lit(k)))
+    flat = cells.select(
+        *cells.columns, *[at(i, 0).alias(f"__x{i}") for i in range(4)], *[at(i, 1).alias(f"__y{i}") for i in range(4)]
+    )
+    x, y = [F.col(f"__x{i}") for i in range(4)], [F.col(f"__y{i}") for i in range(4)]
+    lo, hi = F.greatest(F.least(*x), F.lit(0.0)), F.least(F.greatest(*x), F.col(w) - 1.0)
+    cols = flat.where(lo <= hi).select("*", F.explode(F.sequence(lo.cast("bigint"), hi.cast("bigint"))).alias("c"))
+    c, lows, highs = F.col("c"), [], []
+    for i in range(4):
+        j = (i + 1) % 4
+        spans = (F.least(x[i], x[j]) <= c) & (F.greatest(x[i], x[j]) >= c)
+        along = y[i] + (y[j] - y[i]) * F.try_divide(c - x[i], x[j] - x[i])
+        lows.append(F.when(spans, F.coalesce(along, F.least(y[i], y[j]))))
+        highs.append(F.when(spans, F.coalesce(along, F.greatest(y[i], y[j]))))
+    out = cols.select(
         *cells.columns,
         "c",
-        F.greatest(F.ceil(F.array_min("__y")), F.lit(0)).cast("bigint").alias("r0"),
-        F.least(F.floor(F.array_max("__y")), F.col(h) - 1).cast("bigint").alias("r1"),
+        F.greatest(F.ceil(F.least(*lows)), F.lit(0)).cast("bigint").alias("r0"),
+        F.least(F.floor(F.greatest(*highs)), F.col(h) - 1).cast("bigint").alias("r1"),
     )
     return out.where("r0 <= r1")
 
@@ -235,12 +235,23 @@ def cell_labels(cell_segments: DataFrame, keys: Sequence[str], label: str, order
     ).where(F.col(label).isNotNull())
 
 
-def overlap(segments: DataFrame, labels: DataFrame, on: Sequence[str], mask: str, label: str) -> DataFrame:
-    """Shared pixels per (capture, mask, cell label): equi-join on (capture, column)."""
-    cells = labels.select(*on, "c", F.col("r0").alias("__a"), F.col("r1").alias("__b"), label)
-    hit = segments.join(cells, [*on, "c"]).where("r0 <= __b AND r1 >= __a")
-    rows = F.least("r1", "__b") - F.greatest("r0", "__a") + 1
-    return hit.groupBy(*on, mask, label).agg(F.sum(rows).alias("px"))
+WHOLE = 0
+
+
+def overlap(segments: DataFrame, labels: DataFrame, on: Sequence[str], mask: str) -> DataFrame:
+    """Shared pixels per (capture, mask, cell label), in one pass over the segments.
+
+    The few label pieces of a column travel as one array, so every segment meets one
+    row and is never duplicated by the join.  Label 0 carries the mask's whole area.
+    """
+    pieces = labels.groupBy(*on, "c").agg(F.collect_list(F.struct("r0", "r1", "label")).alias("__p"))
+    hit = segments.join(pieces, [*on, "c"], "left")
+    shared = lambda p: F.least(F.col("r1"), p["r1"]) - F.greatest(F.col("r0"), p["r0"]) + 1
+    part = F.transform("__p", lambda p: F.struct(p["label"].cast("int").alias("label"), shared(p).alias("px")))
+    whole = F.array(F.struct(F.lit(WHOLE).alias("label"), (F.col("r1") - F.col("r0") + 1).alias("px")))
+    none = F.array().cast("array<struct<label:int,px:bigint>>")
+    each = hit.select(*on, mask, F.inline(F.concat(whole, F.coalesce(F.filter(part, lambda x: x["px"] > 0), none))))
+    return each.groupBy(*on, mask, "label").agg(F.sum("px").alias("px"))
 
 
 def assign(
@@ -258,13 +269,12 @@ def assign(
     fitted = captures.select(*on, F.col("h").alias("__h"), F.col("w").alias("__w"), "status", "wells")
     good = captures.where("status <> 'fail'").select(*on, F.col("h").alias("__h"), F.col("w").alias("__w"))
     usable = masks.join(good, on).where((F.col("h") == F.col("__h")) & (F.col("w") == F.col("__w"))).drop("__h", "__w")
-    total = segments.groupBy(*on, mask).agg(F.sum(F.col("r1") - F.col("r0") + 1).alias("npx"))
-    px = overlap(segments, labels, on, mask, "label")
-    best = px.where(F.col("label") < MARKER_LABEL).groupBy(*on, mask).agg(
-        F.min(F.struct((-F.col("px")).alias("loss"), F.col("label"))).alias("b")
+    kernel = (F.col("label") > WHOLE) & (F.col("label") < MARKER_LABEL)
+    stats = overlap(segments, labels, on, mask).groupBy(*on, mask).agg(
+        F.max(F.when(F.col("label") == WHOLE, F.col("px"))).alias("npx"),
+        F.min(F.when(kernel, F.struct((-F.col("px")).alias("loss"), F.col("label")))).alias("b"),
     )
-    judged = usable.join(total, [*on, mask], "left").join(best, [*on, mask], "left")
-    judged = judged.select(
+    judged = usable.join(stats, [*on, mask], "left").select(
         *on, mask, order, "npx", F.col("b.label").alias("label"),
         F.try_divide((-F.col("b.loss")).cast("double"), F.col("npx").cast("double")).alias("containment"),
     )
@@ -273,7 +283,8 @@ def assign(
         .when(F.col("label").isNull(), "MASK_OFF_LATTICE")
         .when(F.col("containment") < min_containment, "MASK_STRADDLES_CELLS")
     )
-    judged = judged.withColumn("problem", verdict)
+    # One row per mask behind the pass over all segments; several branches read it.
+    judged = judged.withColumn("problem", verdict).persist()
     fits = judged.where("problem IS NULL")
     claim = fits.groupBy(*on, "label").agg(F.min(F.struct(F.col(order).alias("o"), F.col(mask).alias("m"))).alias("first"))
     placed = fits.join(claim, [*on, "label"])
