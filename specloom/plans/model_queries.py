@@ -10,6 +10,9 @@ from ..functions import spectral as S
 from ..operators import folds as FO
 from ..operators import metrics as M
 from ..operators import models as ML
+from ..operators import reports as RP
+from ..session import settle
+from . import evaluate as E
 from .registry import query, r6, rounded
 
 SEED = 20260817
@@ -29,7 +32,7 @@ def binary_rows(t):
 def plsda_cv(t):
     """Ten-class discriminant: out-of-fold accuracy per outer fold and its component count."""
     rows = spectra(t)
-    fold = FO.round_robin_folds(rows, "grp", "stratum", 5, SEED).select("grp", "fold")
+    fold = settle(FO.round_robin_folds(rows, "grp", "stratum", 5, SEED).select("grp", "fold"))
     oof, choices = ML.plsda_cv(rows, "vec_id", "grp", "label", 10, "d0", P, fold)
     per = M.classification_summary(oof.withColumnRenamed("n", "components"), "y", "pred", 10, ["fold", "components"])
     return rounded(per, "accuracy", "balanced_accuracy", "macro_f1")
@@ -37,7 +40,7 @@ def plsda_cv(t):
 
 def run(t, repeats, vectors):
     rows = binary_rows(t)
-    fold = FO.latin_square_folds(rows, "grp", "stratum", "y", 5, SEED).select("grp", "fold")
+    fold = settle(FO.latin_square_folds(rows, "grp", "stratum", "y", 5, SEED).select("grp", "fold"))
     sets = ML.label_sets(rows, "vec_id", "grp", "y", repeats, SEED) if repeats else rows.withColumn("ys", F.array("y"))
     return ML.nested_cv(sets, "vec_id", "grp", "stratum", vectors, fold, grid=(2, 4, 6), n_sets=repeats + 1, seed=SEED)
 
@@ -81,3 +84,57 @@ def permuted_label_sets(t):
     return sets.where("rep > 0").groupBy("lang", "rep").agg(
         F.sum(F.col("y").cast("bigint")).alias("positives"), F.count(F.lit(1)).alias("n")
     )
+
+
+MODES = [("reflectance", 0.0), ("reflectance", 8.0)]
+
+
+@query("evaluate_representations")
+def evaluate_representations(t):
+    """The whole evaluation: twelve consecutive vectors make a unit, the signs of its
+    first band the slot, and the unit's mean sixth band its outcome."""
+    unit = F.floor(F.col("vec_id") / 12)
+    views = t.embeddings.select(
+        unit.alias("unit"), F.lit("reflectance").alias("mode"),
+        F.when(F.col("embedding")[0] < 0, 0.0).otherwise(8.0).alias("hours"), "embedding",
+    )
+    label = t.embeddings.groupBy(unit.alias("unit")).agg((F.avg(F.col("embedding")[5]) > 0).cast("int").alias("y"))
+    blocks = E.unit_blocks(views, "unit", "embedding", P, MODES)
+    sets = {k: v for k, v in ML.FEATURE_SETS.items() if k in ("refl_0h", "refl_both")}
+    reps, vectors = E.representations(blocks, "unit", MODES, P, sets, [0])
+    rows = reps.join(label, "unit").withColumn("grp", (F.col("unit") % 20).cast("int")).withColumn("stratum", F.col("grp") % 4)
+    out = E.evaluate(rows, "unit", "grp", "stratum", "y", vectors, grid=(2, 4), seed=SEED)
+    return rounded(out, "value")
+
+
+@query(
+    "dataset_overview",
+    """SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS views, CAST(count(DISTINCT o_custkey) AS BIGINT) AS units,
+round(quantile_cont(o_totalprice, 0.5), 6) AS median FROM orders GROUP BY o_orderstatus""",
+)
+def dataset_overview(t):
+    return rounded(RP.dataset_overview(t.orders, "o_custkey", ["o_orderstatus"], "o_totalprice"), "median")
+
+
+@query(
+    "repeated_summary",
+    """WITH r AS (SELECT l_returnflag, l_linenumber, avg(l_quantity) AS m FROM lineitem GROUP BY 1, 2)
+SELECT l_returnflag, round(avg(m), 6) AS mean, round(stddev_pop(m), 6) AS std, CAST(count(m) AS BIGINT) AS repeats FROM r GROUP BY 1""",
+)
+def repeated_summary(t):
+    per = t.lineitem.groupBy("l_returnflag", "l_linenumber").agg(F.avg("l_quantity").alias("m"))
+    return rounded(M.repeated_summary(per, "m", ["l_returnflag"]), "mean", "std")
+
+
+@query(
+    "per_class_recall",
+    """WITH v AS (SELECT label AS y, list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS p FROM embeddings)
+SELECT CAST(g.c AS INTEGER) AS cls, CAST(count(*) FILTER (y = g.c) AS BIGINT) AS support,
+  round(count(*) FILTER (y = g.c AND p = g.c)::DOUBLE / nullif(count(*) FILTER (y = g.c), 0), 6) AS recall,
+  round(count(*) FILTER (y = g.c AND p = g.c)::DOUBLE / nullif(count(*) FILTER (p = g.c), 0), 6) AS precision
+FROM v, (SELECT unnest(range(10)) AS c) g GROUP BY g.c""",
+)
+def per_class_recall(t):
+    first = F.slice("embedding", 1, 10)
+    calls = t.embeddings.select("label", (F.array_position(first, F.array_max(first)) - 1).cast("int").alias("p"))
+    return rounded(RP.per_class_recall(calls, "label", "p", 10), "recall", "precision")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,3 +128,29 @@ def resolve_calibration(needs: DataFrame, found: DataFrame) -> DataFrame:
         F.when(F.col("__own").isNotNull(), "day").when(F.col("__shared").isNotNull(), "shared").alias("scope"),
     )
 
+
+
+def load_arrays(spark: SparkSession, path: str, width: int = WIDTH, channels: int = CHANNELS) -> DataFrame:
+    """Stitched array files as (capture, line, row, bands); any other shape fails the job."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"]):
+                cube = np.load(io.BytesIO(content), allow_pickle=False)
+                if cube.ndim != 3 or (cube.shape[0], cube.shape[2]) != (width, channels):
+                    raise ValueError(f"{name}: shape {cube.shape} is not ({width}, lines, {channels})")
+                for line in range(cube.shape[1]):
+                    yield pd.DataFrame(
+                        {"capture": name, "line": line, "row": np.arange(width), "bands": list(cube[:, line].astype(np.float32))}
+                    )
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "capture string, line int, row int, bands array<float>")
+
+
+def load_input(spark: SparkSession, path: str, width: int = WIDTH, channels: int = CHANNELS) -> DataFrame:
+    """A cube from a folder of lines, a concatenated file or a stitched array, by suffix."""
+    if path.endswith(".npy"):
+        return load_arrays(spark, path, width, channels)
+    if path.endswith(".bin"):
+        return unpack_lines(whole_capture(spark, path, width * channels * 3 // 2), width, channels)
+    return stitch(spark, path, width, channels)

@@ -78,3 +78,12 @@ def test_reads_merge_and_boards(spark):
     assert r["scale"] == 11.0 and abs(r["rel_spread"] - 2 / 11) < 1e-12
     got = [x["j"]["reason"] for x in boards.select(C.judge_board("rms", "skew", "s").alias("j")).collect()]
     assert got == [None, "rms", "skew"]
+
+
+def test_wells_are_filtered_and_thinned(spark):
+    rows = [("c", 0, 0.0, 0.0), ("c", 1, 20.0, 0.0), ("c", 2, 40.0, 0.0), ("d", 0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "cap string, o int, x double, y double")
+    got = {(r["cap"], r["o"]) for r in L.thin_by_radius(df, ["cap"], "o").collect()}
+    assert got == {("c", 0), ("c", 2), ("d", 0)}
+    blobs = spark.createDataFrame([(50.0, 100.0, 4000.0, 0.9), (50.0, 100.0, 4000.0, 0.3), (10.0, 100.0, 4000.0, 0.9)], "s double, l double, a double, f double")
+    assert [r[0] for r in blobs.select(L.well_like("s", "l", "a", "f")).collect()] == [True, False, False]

@@ -211,3 +211,14 @@ def test_writers_scrub(spark, tmp_path):
     assert back.count() == 1 and "PartitionFilters: [isnotnull(mode" in back._jdf.queryExecution().toString()
     writers.write_report_csv(views, str(tmp_path / "c"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 2
+
+
+def test_array_files_and_dispatch(spark, raw):
+    path, a = raw
+    cube = a[0].transpose(2, 0, 1).astype(np.float32)
+    np.save(path / "capture.npy", cube)
+    got = {(r["line"], r["row"]): r["bands"] for r in lines.load_input(spark, str(path / "capture.npy"), 4, 6).collect()}
+    assert got[(2, 3)] == cube[3, 2].tolist() and len(got) == 12
+    assert lines.load_input(spark, str(path / "raw"), 4, 6).count() == 40
+    with pytest.raises(Exception, match="is not"):
+        lines.load_input(spark, str(path / "capture.npy"), 5, 6).collect()
