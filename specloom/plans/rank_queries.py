@@ -147,7 +147,7 @@ by_score AS (
   UNION ALL
   SELECT lang, max(score) + 1, 0, sum(neg), sum(pos), sum(neg) FROM by_score GROUP BY lang
 ), best AS (
-  SELECT lang, t, (tp::DOUBLE / nullif(p, 0) + tn::DOUBLE / nullif(q, 0)) / 2.0::DOUBLE AS ba,
+  SELECT lang, t, p, q, (tp::DOUBLE / nullif(p, 0) + tn::DOUBLE / nullif(q, 0)) / 2.0::DOUBLE AS ba,
          row_number() OVER (PARTITION BY lang
             ORDER BY (tp::DOUBLE / nullif(p, 0) + tn::DOUBLE / nullif(q, 0)) / 2.0::DOUBLE DESC, t) AS k
   FROM cuts
@@ -157,7 +157,8 @@ by_score AS (
 @query(
     "best_threshold",
     f"""WITH {SCORED}, {THRESHOLD}
-SELECT lang, round(t, 6) AS threshold, round(ba, 6) AS balanced_accuracy FROM best WHERE k = 1""",
+SELECT lang, CASE WHEN p = 0 OR q = 0 THEN (SELECT quantile_cont(s.score, 0.5) FROM scored s WHERE s.lang = best.lang) ELSE round(t, 6) END AS threshold,
+  CASE WHEN p = 0 OR q = 0 THEN 0.5::DOUBLE ELSE round(ba, 6) END AS balanced_accuracy FROM best WHERE k = 1""",
 )
 def best_threshold(t):
     return rounded(M.best_threshold(scored(t), "y", "score", ["lang"]), "threshold", "balanced_accuracy")
