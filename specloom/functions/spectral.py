@@ -111,11 +111,18 @@ def savgol(c: Column | str, deriv: int = 1, window: int = SG_WINDOW, poly: int =
     def filtered(a: Column) -> Column:
         last = F.size(a) - window
 
-        def at(i: Column) -> Column:
+        def edge(i: Column) -> Column:
             start = F.greatest(F.lit(0), F.least(i - half, last))
             return dot(F.slice(a, start + 1, F.lit(window)), F.get(rows, i - start))
 
-        return F.transform(F.sequence(F.lit(0), F.size(a) - 1), at)
+        def inner(i: Column) -> Column:
+            # Plain taps read the array in place; slices would copy it for every band.
+            taps = [F.get(a, i + (k - half)) * float(v) for k, v in enumerate(w[half]) if v]
+            return sum(taps[1:], taps[0])
+
+        return F.transform(
+            a, lambda x, i: F.when((i >= half) & (i <= last + half), inner(i)).otherwise(edge(i))
+        )
 
     return let(doubles(c), filtered)
 

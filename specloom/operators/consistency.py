@@ -56,7 +56,7 @@ def capture_exceptions(captures: DataFrame, dish: str = "dish") -> DataFrame:
 
 
 def occupancy_table(occ: DataFrame, keys: Sequence[str], capture: str, value: str) -> DataFrame:
-    """One map capture -> occupancy per well."""
+    """One map capture -> occupancy per well; a plate is captured a dozen times at most."""
     return occ.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(capture, value))).alias("by_capture"))
 
 

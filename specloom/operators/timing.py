@@ -46,6 +46,12 @@ def hours_between(start: str, end: str) -> Column:
     return (seconds * 1000000).cast("bigint").cast("double") / F.lit(3.6e9)
 
 
+def micros(ts: str) -> Column:
+    """Microseconds since 1970 of a zoneless timestamp, whatever the session zone."""
+    seconds = (F.col(ts) - F.expr("timestamp_ntz'1970-01-01 00:00:00'")).cast("interval second").cast("decimal(20,6)")
+    return (seconds * 1000000).cast("bigint")
+
+
 def hours_since_origin(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
     """``hours`` since the group's t0, by aggregate and join so no group is sorted."""
     out = null_safe_join(df, origin(df, keys, ts), keys, "left")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import radiometry as R
 from ..operators.interpolate import clamp_interpolate
 from ..operators.ordered import exact_percentiles
+from ..operators.timing import micros
 from .registry import query, r6, rounded
 
 BANDS = 64
@@ -271,7 +272,7 @@ def unphysical_share(t):
 SELECT event_type, CAST(count(*) AS BIGINT) AS lines, round(quantile_cont(gap, 0.5), 6) AS period FROM g GROUP BY event_type""",
 )
 def line_period(t):
-    us = t.events.select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    us = t.events.select("event_type", micros("ts").alias("us"))
     return rounded(R.line_period(us, ["event_type"], "us"), "period")
 
 

@@ -76,14 +76,21 @@ def within_group_auc(t):
     """Flagship: one row per language and one for pairs inside a language only."""
     per = M.auc(scored(t), "y", "score", ["lang"])
     pairs = F.col("n_pos").cast("double") * F.col("n_neg").cast("double")
-    pooled = per.agg(
-        F.lit("(within)").alias("lang"),
+    both = per.rollup("lang").agg(
+        F.grouping("lang").alias("pool"),
         F.sum("n_pos").alias("n_pos"),
         F.sum("n_neg").alias("n_neg"),
-        F.lit(None).cast("double").alias("auc"),
+        F.max("auc").alias("auc"),
         F.try_divide(F.sum(F.col("auc") * pairs), F.sum(F.when(pairs > 0, pairs))).alias("within_auc"),
     )
-    rows = per.withColumn("within_auc", F.lit(None).cast("double")).unionByName(pooled)
+    pool = F.col("pool") == 1
+    rows = both.select(
+        F.when(pool, "(within)").otherwise(F.col("lang")).alias("lang"),
+        "n_pos",
+        "n_neg",
+        F.when(~pool, F.col("auc")).alias("auc"),
+        F.when(pool, F.col("within_auc")).alias("within_auc"),
+    )
     return rounded(rows, "auc", "within_auc")
 
 
