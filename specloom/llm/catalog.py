@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, chat, language, packing, pieces, pii, repeats, simhash, sketches
+from . import bitplanes, chat, forest, language, packing, pieces, pii, repeats, simhash, sketches
 from .common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]):
     return f
 
 
+@query
+def op1_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query
 def op4_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.read_chunks(bitplanes.token_files(table(spark, sf_dir, "documents"), "word_bpe_49k.json"))
