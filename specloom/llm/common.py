@@ -51,6 +51,18 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+LOWEST = -(1 << 63)
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text, and a key of two columns that is never null: the id, and a hash of the text.
+
+    Rows with the same id stay apart unless they have the same text too.
+    """
+    text, doc_id = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("long")
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LOWEST)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
 def rows(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
     """Rows of Arrow batches one by one; a batch is turned to Python objects a slice at a time."""
     for batch in batches:

@@ -165,6 +165,24 @@ def identify(docs: DataFrame, model: Model, unsure: float = 0.02, id_col: str =
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
+def keep_identified(docs: DataFrame, model: Model, unsure: float = 0.02, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose language is told: neither ``und`` nor ambiguous."""
+
+    def run(batches):
+        for batch in batches:
+            told = [bool(model.labels) and has_letter(text) for _, text in texts([batch], text_col, text_col)]
+            sure = np.zeros(len(told), bool)
+            places = np.flatnonzero(told)
+            for at in range(0, len(places), 256):
+                some = places[at : at + 256]
+                part = batch.column(batch.schema.get_field_index(text_col)).take(pa.array(some))
+                held = np.array([ngram_counts(part[k].as_buffer().to_pybytes(), model.dims) for k in range(len(some))], np.float32)
+                sure[some] = model.predict(held)[2] >= unsure
+            yield batch.filter(pa.array(sure))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> F.Column:
     """A quarter of the documents, by checksum of the id; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))

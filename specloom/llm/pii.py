@@ -127,19 +127,22 @@ def spans_of(kind: str, text: Column) -> Column:
     return F.when(text.rlike(HINTS[kind]), let(F.split(text, PATTERNS[kind], -1), located)).otherwise(F.array().cast(SPAN))
 
 
-def find(docs: DataFrame, least_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, spans: every confirmed span of every kind, by start, then kind as listed.
+def with_spans(docs: DataFrame, least_score: float = 0.5, text_col: str = "text", to: str = "spans") -> DataFrame:
+    """The rows with a column of every confirmed span of every kind, by start, then kind as listed.
 
     Spans of the base kinds always stay; others stay at ``least_score`` or more. Places are code
-    points, ends exclusive. A null or empty text has no span; rows are kept as they are, repeated
-    ones too; spans of different kinds may overlap.
+    points, ends exclusive. A null or empty text has no span; rows stay as they are, repeated ones
+    too; spans of different kinds may overlap.
     """
-    kept = id_and_text(docs, id_col, text_col)
-    for kind in KINDS:
-        kept = kept.withColumn(f"__{kind}", spans_of(kind, F.col("text")))
-    every = F.array_sort(F.concat(*(F.col(f"__{k}") for k in KINDS)))
-    every = F.filter(every, lambda s: (s["order"] < len(BASE)) | (s["score"] >= least_score))
-    return kept.select("doc_id", "text", every.alias("spans"))
+    text, held = F.coalesce(F.col(text_col), F.lit("")), [f"__{to}_{k}" for k in KINDS]
+    found = docs.withColumns({c: spans_of(k, text) for c, k in zip(held, KINDS, strict=True)})
+    every = F.array_sort(F.concat(*(F.col(c) for c in held)))
+    return found.withColumn(to, F.filter(every, lambda s: (s["order"] < len(BASE)) | (s["score"] >= least_score))).drop(*held)
+
+
+def find(docs: DataFrame, least_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text, spans; see ``with_spans``."""
+    return with_spans(id_and_text(docs, id_col, text_col), least_score)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -26,9 +26,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rows, staged, texts
+from .common import LOWEST, Rows, keyed, staged, texts
 
-LOWEST = -(1 << 63)
 GRAM = 32
 TIE_BITS = 21
 U = np.uint64
@@ -84,12 +83,6 @@ RUNS = "id long, th long, gram long, context long, first long, last long"
 RUN_ROWS = pa.schema([(c, pa.int64()) for c in ("id", "th", "gram", "context", "first", "last")])
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows under an id that is never null and a hash of the text: repeated ids do no harm."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-
-
 def run_table(docs: DataFrame, length: int, segment: int = 1 << 18) -> DataFrame:
     """All runs of all texts; long texts in segments that overlap by a string less a byte."""
 
@@ -221,19 +214,20 @@ def removed_spans(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """Texts compressed before they are shuffled."""
-    schema = pa.schema([("doc_id", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("packed", pa.binary())])
+    """Texts compressed before they are shuffled; the columns of the row they carry stay as they are."""
+    carried = [f for f in docs.schema if f.name != "text"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried) + ", packed binary"
 
     def run(batches):
-        out, press = Rows(schema), zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            ids, hashes = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("id", "th"))
-            for (doc_id, text), i, th in zip(texts([batch]), ids, hashes, strict=True):
-                data = press.compress(text)
-                yield from out.add(doc_id, i, th, data, weight=len(data))
-        yield from out.flush()
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                data = pa.array([press.compress(text) for _, text in texts([part], key="id")], pa.binary())
+                columns = [part.column(part.schema.get_field_index(f.name)) for f in carried]
+                yield pa.RecordBatch.from_arrays([*columns, data], names=[*(f.name for f in carried), "packed"])
 
-    return docs.mapInArrow(run, "doc_id long, id long, th long, packed binary")
+    return docs.mapInArrow(run, schema)
 
 
 def repeated_runs(docs: DataFrame, length: int, symbol: int, hot: int, chunk_bytes: int) -> DataFrame:
@@ -249,7 +243,7 @@ def repeated_runs(docs: DataFrame, length: int, symbol: int, hot: int, chunk_byt
     hot_grams = kinds.groupBy("gram").count().where(F.col("count") > hot).select("gram")
     wanted = kinds.join(hot_grams.withColumn("hot", F.lit(True)), "gram", "left")
     wanted = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("gram", "first", "last", "copies", "hot")).alias("wanted"))  # as many as the text has runs
-    with_text = wanted.join(packed(docs), ["id", "th"])
+    with_text = wanted.join(packed(docs.select("id", "th", "text")), ["id", "th"])
     context_rows = pa.schema([("gram", pa.int64()), ("hot", pa.bool_()), ("alone", pa.bool_()), ("id", pa.int64()), ("th", pa.int64()), ("first", pa.int64()), ("bytes", pa.binary())])
 
     def cut(batches):
@@ -312,8 +306,8 @@ def repeated_runs(docs: DataFrame, length: int, symbol: int, hot: int, chunk_byt
     return alike.select(*same).unionByName(copied.select(*same)).unionByName(resolved).unionByName(counted)
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, symbol: int = 100, hot: int = 2048, chunk_bytes: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, kept (bytes left), removed (array of begin and end in bytes of the text).
+def remove_repeats(docs: DataFrame, length: int = 200, symbol: int = 100, hot: int = 2048, chunk_bytes: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, kept (bytes left; with ``as_text`` a string, less what is left of characters that were cut), removed (array of begin and end in bytes of the text), and carried columns.
 
     A byte goes if a string of ``length`` bytes over it also starts anywhere else in the input,
     the same text included. ``length`` is a multiple of ``symbol`` and over 64. Null texts are
@@ -322,23 +316,32 @@ def remove_repeats(docs: DataFrame, length: int = 200, symbol: int = 100, hot: i
     kept = keyed(docs, id_col, text_col)
     spans = repeated_runs(kept, length, symbol, hot, chunk_bytes)
     spans = spans.groupBy("id", "th").agg(F.collect_list(F.struct("first", "last")).alias("spans"))  # as many as the text has runs
-    joined = packed(kept).join(spans, ["id", "th"], "left").select("doc_id", "packed", "spans")
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("removed", pa.list_(pa.list_(pa.int64())))])
+    if carry:
+        text, doc_id = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("long")
+        rest = F.struct(*(F.col(c) for c in carry)).alias("rest")
+        kept = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LOWEST)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"), rest)
+    joined = packed(kept).join(spans, ["id", "th"], "left").drop("id", "th")
+    carried = [f for f in joined.schema if f.name in ("doc_id", "rest")]
+    told = pa.schema([("n_bytes", pa.int64()), ("kept", pa.string() if as_text else pa.binary()), ("removed", pa.list_(pa.list_(pa.int64())))])
 
     def run(batches):
-        out, unpress = Rows(schema, 512), zstandard.ZstdDecompressor()
+        unpress = zstandard.ZstdDecompressor()
         for batch in batches:
-            ids, data, lists = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "packed", "spans"))
-            for k in range(batch.num_rows):
-                text, found, gone = unpress.decompress(data[k].as_py()), lists[k].as_py(), []
-                if found:
-                    gone = removed_spans(np.array([f["first"] for f in found]), np.array([f["last"] + length for f in found]))
-                edges = [0, *(e for span in gone for e in span), len(text)]
-                left = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                yield from out.add(ids[k].as_py(), len(text), left, [list(g) for g in gone], weight=len(left) + 64)
-        yield from out.flush()
-
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, kept binary, removed array<array<bigint>>")
+            for at in range(0, batch.num_rows, 512):
+                part, out = batch.slice(at, 512), []
+                data, lists = (part.column(part.schema.get_field_index(c)) for c in ("packed", "spans"))
+                for k in range(part.num_rows):
+                    text, found, gone = unpress.decompress(data[k].as_py()), lists[k].as_py(), []
+                    if found:
+                        gone = removed_spans(np.array([f["first"] for f in found]), np.array([f["last"] + length for f in found]))
+                    edges = [0, *(e for span in gone for e in span), len(text)]
+                    left = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                    out.append((len(text), left.decode(errors="ignore") if as_text else left, [list(g) for g in gone]))
+                columns = [pa.array([o[k] for o in out], f.type) for k, f in enumerate(told)]
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(f.name)) for f in carried), *columns], names=[*(f.name for f in carried), *told.names])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)
+    return joined.mapInArrow(run, schema + ", n_bytes long, kept " + ("string" if as_text else "binary") + ", removed array<array<bigint>>")
 
 
 def digest(result: DataFrame) -> DataFrame:

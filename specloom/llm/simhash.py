@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rows, id_and_text, staged, texts
+from .common import LOWEST, Rows, keyed, staged, texts
 from .components import components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -49,16 +49,15 @@ def fingerprint(text: bytes, words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp. A text without words has fingerprint 0."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """doc_id, id, th, fp: the row's key and its fingerprint. A text without words has fingerprint 0."""
+    schema = pa.schema([("doc_id", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("fp", pa.int64())])
 
     def run(batches):
-        out = Rows(schema)
-        for doc_id, text in texts(batches):
-            yield from out.add(doc_id, fingerprint(text, words))
-        yield from out.flush()
+        for batch in batches:
+            found = pa.array([fingerprint(text, words) for _, text in texts([batch])], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "id", "th")), found], schema=schema)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, id long, th long, fp long")
 
 
 def block_keys(fp: Column, k: int, blocks: int) -> Column:
@@ -150,6 +149,14 @@ def links(distinct: DataFrame, k: int = 3, blocks: int = 6, slice_rows: int = 20
     return cells.mapInArrow(run, "a long, b long").distinct()
 
 
+def rooted(docs: DataFrame, words: int, k: int, blocks: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """All rows with their fingerprints, and each distinct fingerprint's root and least id."""
+    held = staged(fingerprints(docs, words, id_col, text_col), "fingerprints")
+    distinct = held.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(links(distinct, k, blocks), "a", "b").select(F.col("node").alias("fp"), "root")
+    return held, staged(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, k: int = 3, blocks: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, fingerprint (16 hexadecimal digits), component_id (the smallest id reachable).
 
@@ -157,10 +164,20 @@ def near_duplicates(docs: DataFrame, words: int = 3, k: int = 3, blocks: int = 6
     0; repeated rows stay; null ids join a component and do not name it unless all are null; an
     empty table gives no row.
     """
-    held = staged(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    distinct = held.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(distinct, k, blocks), "a", "b").select(F.col("node").alias("fp"), "root")
-    rooted = staged(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(named, "root").select("fp", "component_id")
+    held, roots = rooted(docs, words, k, blocks, id_col, text_col)
+    named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = roots.join(named, "root").select("fp", "component_id")
     return held.join(classes, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 3, k: int = 3, blocks: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that stay: of each component the one with the smallest id.
+
+    A null id is smaller than any other; of rows that repeat id and text one stays.
+    """
+    held, roots = rooted(docs, words, k, blocks, id_col, text_col)
+    chosen = held.groupBy("fp").agg(F.min(F.struct("id", "th")).alias("r")).join(roots, "fp").groupBy("root").agg(F.min("r").alias("r")).select("r.id", "r.th")
+    text, doc_id = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))
+    whole = docs.select(F.struct("*").alias("row"), doc_id.alias("id"), F.xxhash64(text).alias("th"))
+    first = Window.partitionBy("id", "th").orderBy("id")
+    return whole.join(chosen, ["id", "th"], "left_semi").withColumn("n", F.row_number().over(first)).where("n = 1").select("row.*")

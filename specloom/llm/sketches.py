@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rows, id_and_text, shuffle_partitions, texts
+from .common import LOWEST, Rows, id_and_text, shuffle_partitions, texts
 
 BASE_CELLS = 24  # three parts of eight
 PARAGRAPH = re.compile(r"\n+|(?<=[.!?])\s+")
@@ -105,8 +105,6 @@ def shown(keys: list[int]) -> str:
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 RESULT_ROWS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-LOWEST = -(1 << 63)
-
 
 def ordered_runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Compressed texts in runs of ascending ids; each run ends with the next run's first document.
