@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 PLAIN = r"!-~\nÀ-ÖØ-öø-ÿ"  # printable ASCII, line feeds and Latin-1 letters
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 TWO_SPACES = re.compile(r"\s\s")
-MOST = 250_000  # entries a worker keeps; the table starts anew beyond them
+MOST = 300_000  # entries of each of a table's two generations
 
 
 def byte_letters() -> list[str]:
@@ -28,16 +28,19 @@ def byte_letters() -> list[str]:
 
 
 class Known(dict):
-    """A table that fills itself and stays bounded."""
+    """A table that fills itself and stays bounded: what was not asked for lately is forgotten."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= 64:
             if len(self) >= MOST:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -55,12 +58,13 @@ class WordTokenizer:
             self.cut = re.compile(f"{marks}|[{LETTER}]+|[0-9]|[^\\s{LETTER}0-9]+").findall
         else:
             self.cut = re.compile(f"{marks}| ?[{LETTER}]+| ?[0-9]+| ?[^\\s{LETTER}0-9]+|\\s+(?!\\S)|\\s+").findall
-        self.shown = byte_letters()
+        self.shown = dict(enumerate(byte_letters()))
+        self.bytes_of = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
         self.words, self.stretches = Known(self.word), Known(self.stretch)
 
     def word(self, word: str) -> bytes:
-        shown = "".join(map(self.shown.__getitem__, word.encode()))
-        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(shown))
+        shown = word.encode().decode("latin-1").translate(self.shown)
+        return b"".join([self.bytes_of[t.id] for t in self.model.tokenize(shown)])
 
     def by_library(self, text: str) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in self.whole.encode(text, add_special_tokens=False).ids)
