@@ -18,6 +18,11 @@ AGREE_MIN, AGREE_MARGIN = 0.45, 0.05
 PITCH_X_SPREAD, PITCH_Y_SPREAD = 4.0, 7.0
 
 
+def _pearson(a: str, b: str):
+    """Correlation as an aggregate; NULL where either side has no spread."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def status_counts(captures: DataFrame, field: str = "status") -> DataFrame:
     return captures.groupBy(field).agg(F.count(F.lit(1)).alias("n"))
 
@@ -104,7 +109,7 @@ def pose_agreement(occ: DataFrame, dish: str, capture: str, well: str, value: st
     ref = leave_one_out_median(z, [dish, well], capture, "z").where("ref IS NOT NULL")
 
     def corr(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-        got = df.groupBy(*keys).agg(F.corr("z", "ref").alias(name), F.count(F.lit(1)).alias("__k"))
+        got = df.groupBy(*keys).agg(_pearson("z", "ref").alias(name), F.count(F.lit(1)).alias("__k"))
         return got.select(*keys, F.when(F.col("__k") > 3, F.col(name)).alias(name))
 
     true = corr(ref, [dish, capture], "corr")
@@ -130,9 +135,9 @@ def pose_agreement(occ: DataFrame, dish: str, capture: str, well: str, value: st
 
 
 def null_safe_corr(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
-    """Pearson correlation over rows where both are finite; NULL up to three of them."""
+    """Pearson correlation over rows where both are finite; NULL up to three of them or without spread."""
     ok = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) != float("inf"))
-    got = df.where(ok(a) & ok(b)).groupBy(*keys).agg(F.corr(a, b).alias("corr"), F.count(F.lit(1)).alias("n"))
+    got = df.where(ok(a) & ok(b)).groupBy(*keys).agg(_pearson(a, b).alias("corr"), F.count(F.lit(1)).alias("n"))
     return got.withColumn("corr", F.when(F.col("n") > 3, F.col("corr")))
 
 

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions.spectral import total
 
+# Problems that stop a build. An empty well is expected, so a cell without a mask is none.
 FATAL = (
     "SHAPE_MISMATCH", "FIT_FAILED", "EMPTY_MASK", "MASK_ERODED_AWAY", "MASK_OFF_LATTICE", "MASK_STRADDLES_CELLS",
-    "TWO_MASKS_ONE_CELL", "CELL_WITHOUT_MASK",
+    "TWO_MASKS_ONE_CELL",
 )
 
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import cumulate, cumulate_rows, exact_percentiles, null_safe_join
+from .ordered import cumulate, cumulate_rows, null_safe_join
 
 
 def _count_if(cond: Column) -> Column:
@@ -20,9 +20,9 @@ def _count_if(cond: Column) -> Column:
 
 
 def score_counts(df: DataFrame, keys: Sequence[str], truth: str, score: str) -> DataFrame:
-    """Positives and negatives per distinct score."""
-    return df.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(
-        _count_if(F.col(truth) == 1).alias("pos"), _count_if(F.col(truth) != 1).alias("neg")
+    """Positives and negatives per distinct score; rows with any other label are left out."""
+    return df.where(F.col(truth).isin(0, 1)).groupBy(*keys, F.col(score).cast("double").alias("score")).agg(
+        _count_if(F.col(truth) == 1).alias("pos"), _count_if(F.col(truth) == 0).alias("neg")
     )
 
 
@@ -33,7 +33,12 @@ def auc(
 
     Returns ``keys, n_pos, n_neg, auc``.
     """
-    ranked = cumulate(score_counts(df, keys, truth, score), keys, "score", ["pos", "neg"], n)
+    return counted_auc(score_counts(df, keys, truth, score), keys, n)
+
+
+def counted_auc(counts: DataFrame, keys: Sequence[str] = (), n: int | None = None) -> DataFrame:
+    """The same from (keys, score, pos, neg), one row per distinct score."""
+    ranked = cumulate(counts, keys, "score", ["pos", "neg"], n)
     wins = F.col("pos").cast("double") * (
         F.col("neg_before").cast("double") + F.col("neg").cast("double") / F.lit(2.0)
     )
@@ -140,7 +145,8 @@ def best_threshold(
     """Cut with the highest balanced accuracy; the smallest such cut wins.
 
     Cuts lie midway between neighbouring distinct scores, one below the smallest and
-    one above the largest.  With one class only: (median score, 0.5).
+    one above the largest.  With one class only: (median score, 0.5), the median read
+    off the same ranked counts.
     """
     keys = list(keys)
     ranked = cumulate(score_counts(df, keys, truth, score), keys, "score", ["pos", "neg"], n)
@@ -149,8 +155,13 @@ def best_threshold(
         F.try_divide(pos_above.cast("double"), p) + F.try_divide(neg_below.cast("double"), q)
     ) / F.lit(2.0)
     cut = F.coalesce((F.col("prev_value") + F.col("score")) / F.lit(2.0), F.col("score") - 1)
+    rows, before = F.col("pos") + F.col("neg"), F.col("pos_before") + F.col("neg_before")
+    everything = F.col("pos_total") + F.col("neg_total")
+    holds = lambda i: (before <= i) & (i < before + rows)
     below = ranked.select(
         *keys,
+        F.when(holds(F.floor((everything - 1) / 2)), F.col("score")).alias("__mid_lo"),
+        F.when(holds(F.floor(everything / 2)), F.col("score")).alias("__mid_hi"),
         "pos_total",
         "neg_total",
         cut.alias("threshold"),
@@ -162,14 +173,13 @@ def best_threshold(
         F.max("neg_total").alias("neg_total"),
         F.min(F.when(F.col("ba").isNotNull(), F.struct((-F.col("ba")).alias("loss"), F.col("threshold")))).alias("b"),
         F.max("score").alias("top"),
+        ((F.max("__mid_lo") + F.max("__mid_hi")) / F.lit(2.0)).alias("median"),
     )
     # The cut above every score calls everything negative: balanced accuracy 0.5.
     last = F.struct(F.lit(-0.5).alias("loss"), (F.col("top") + 1).alias("threshold"))
     pick = F.least(F.col("b"), last)
     both = (F.col("pos_total") > 0) & (F.col("neg_total") > 0)
-    median = exact_percentiles(df, keys, score, {"median": 0.5}, n).drop("n")
-    out = null_safe_join(best, median, keys, "left") if keys else best.withColumn("median", median.scalar())
-    return out.select(
+    return best.select(
         *keys,
         F.when(both, pick["threshold"]).otherwise(F.col("median")).alias("threshold"),
         F.when(both, -pick["loss"]).otherwise(F.lit(0.5)).alias("balanced_accuracy"),

@@ -9,6 +9,7 @@ table of at most folds x component counts x bands entries.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from . import metrics as M
 from .folds import seeded_key
 from .ordered import position
 
-# Component grids, inner folds and permutation repeats.
+# Component grids, inner folds, permutation repeats and the feature sets by name.
 GRID_CLASSES = tuple(range(2, 25, 2))
 GRID_BINARY = tuple(range(2, 21, 2))
 INNER_FOLDS, PERMUTATIONS = 4, 10
@@ -179,64 +180,88 @@ def nested_cv(
     tested = folds.select(group, F.col("fold").alias("outer")).join(rate.select("set", group).distinct(), group)
     test = test_inner.unionByName(tested.select("set", "outer", group, F.lit(-1).alias("inner")))
 
-    scored = []
-    for name, (column, p) in vectors.items():
+    def scores(plan: DataFrame, column: str) -> DataFrame:
+        """One score a unit and model of the plan (set, outer, inner, models), by the unit's group."""
+        per_group = plan.groupBy(group).agg(F.collect_list(F.struct("set", "outer", "inner", "models")).alias("__tasks"))
+        hit = rows.select(ident, group, "ys", F.col(column).cast("array<double>").alias("__x")).join(per_group, group)
+        each = hit.select(ident, group, "ys", "__x", F.inline("__tasks")).select(
+            ident, group, "ys", "__x", "set", "outer", "inner", F.inline("models")
+        )
+        return each.select(
+            ident, group, "set", "outer", "inner", "n", F.get("ys", F.col("set")).alias("y"),
+            (dot(F.col("__x"), F.col("w")) + F.col("w0")).alias("score"),
+        )
+
+    fitted, counts = {}, []
+    for number, (name, (column, p)) in enumerate(vectors.items()):
         # Two-class one-hot y: the discriminant is score(1) - score(0).
         y2 = F.flatten(F.transform("ys", lambda v: F.array(1 - v, v)))
-        data = rows.withColumn("__y2", y2)
-        grams = settle(group_grams(data, group, column, "__y2", p, 2 * n_sets))
+        grams = settle(group_grams(rows.withColumn("__y2", y2), group, column, "__y2", p, 2 * n_sets))
         sums = _sum_grams(grams, train, group, ["set", "outer", "inner"], p + 2 * n_sets + 1)
         sums = sums.withColumn("cols", F.array(F.col("set") * 2, F.col("set") * 2 + 1))
-        fits = settle(fit_paths(sums, ["set", "outer", "inner"], p, grid, "cols"))
-        coef = fits.select(
+        fits = fit_paths(sums, ["set", "outer", "inner"], p, grid, "cols")
+        fitted[name] = settle(fits.select(
             "set", "outer", "inner", "n",
             F.zip_with(F.get("b", F.lit(1)), F.get("b", F.lit(0)), lambda a, b: a - b).alias("w"),
             (F.get("b0", F.lit(1)) - F.get("b0", F.lit(0))).alias("w0"),
-        )
-        table = coef.groupBy("set", "outer", "inner").agg(F.collect_list(F.struct("n", "w", "w0")).alias("models"))
-        plan = test.join(table, ["set", "outer", "inner"])
-        per_group = plan.groupBy(group).agg(F.collect_list(F.struct("set", "outer", "inner", "models")).alias("__tasks"))
-        hit = rows.select(ident, group, "ys", F.col(column).cast("array<double>").alias("__x")).join(per_group, group)
-        each = hit.select(ident, group, "ys", "__x", F.inline("__tasks")).select(
-            ident, group, "ys", "__x", "set", "outer", "inner", F.inline("models")
-        )
-        scored.append(
-            each.select(
-                ident, group, "set", "outer", "inner", "n", F.lit(name).alias("rep"),
-                F.get("ys", F.col("set")).alias("y"), (dot(F.col("__x"), F.col("w")) + F.col("w0")).alias("score"),
-            )
-        )
-    oof = scored[0]
-    for part in scored[1:]:
-        oof = oof.unionByName(part)
-    oof = oof.persist()
-    inner_oof = oof.where("inner >= 0")
-    table = settle(M.auc(inner_oof, "y", "score", ["set", "outer", "rep", "n"])).where(
-        "auc IS NOT NULL AND n_pos + n_neg >= 10"
-    )
+        ))
+        models = fitted[name].where("inner >= 0").groupBy("set", "outer", "inner").agg(F.collect_list(F.struct("n", "w", "w0")).alias("models"))
+        held = scores(test_inner.join(models, ["set", "outer", "inner"]), column).withColumn("rep", F.lit(number))
+        counts.append(M.score_counts(held, ["set", "outer", "rep", "n"], "y", "score"))
+    table = M.counted_auc(reduce(DataFrame.unionByName, counts), ["set", "outer", "rep", "n"])
+    table = table.where("auc IS NOT NULL AND n_pos + n_neg >= 10")
+    # Ties: fewer components, then the representation named first.
     pick = F.min(F.struct((-F.col("auc")).alias("loss"), "n", "rep")).alias("b")
-    chosen = table.groupBy("set", "outer").agg(pick).select(
-        "set", "outer", F.col("b.rep").alias("rep"), F.col("b.n").alias("n"), (-F.col("b.loss")).alias("inner_auc")
-    )
-    cuts = M.best_threshold(
-        inner_oof.join(F.broadcast(chosen), ["set", "outer", "rep", "n"]), "y", "score", ["set", "outer"]
-    ).select("set", "outer", "threshold")
-    choices = settle(chosen.join(cuts, ["set", "outer"]))
-    final = oof.where("inner = -1").join(F.broadcast(choices), ["set", "outer", "rep", "n"])
+    best = table.groupBy("set", "outer").agg(pick).select("set", "outer", "b.rep", "b.n", (-F.col("b.loss")).alias("inner_auc"))
+    folds_run = tested.select("set", "outer").distinct().join(best, ["set", "outer"], "left")
+    chosen = settle(folds_run.select(
+        "set", "outer", F.coalesce("rep", F.lit(0)).alias("rep"), F.coalesce("n", F.lit(min(grid))).alias("n"), "inner_auc"
+    ))
+    won = []
+    for number, (name, (column, _)) in enumerate(vectors.items()):
+        models = fitted[name].join(F.broadcast(chosen.where(F.col("rep") == number).select("set", "outer", "n")), ["set", "outer", "n"])
+        models = models.select("set", "outer", "inner", F.array(F.struct("n", "w", "w0")).alias("models"))
+        won.append(scores(test.join(models, ["set", "outer", "inner"]), column).withColumn("rep", F.lit(name)))
+    oof = settle(reduce(DataFrame.unionByName, won))
+    cuts = M.best_threshold(oof.where("inner >= 0"), "y", "score", ["set", "outer"]).select("set", "outer", "threshold")
+    names = F.array(*[F.lit(v) for v in vectors])
+    choices = settle(chosen.join(cuts, ["set", "outer"], "left").select(
+        "set", "outer", F.get(names, "rep").alias("rep"), "n", "inner_auc",
+        F.when(F.col("inner_auc").isNull(), 0.5).otherwise(F.col("threshold")).alias("threshold"),
+    ))
+    final = oof.where("inner = -1").join(F.broadcast(choices.select("set", "outer", "threshold")), ["set", "outer"])
     return final.select(
         ident, group, "set", F.col("outer").alias("fold"), "rep", "n", "y", "score",
         (F.col("score") >= F.col("threshold")).cast("int").alias("pred"), "threshold",
     ), choices
 
 
+def fold_records(oof: DataFrame, choices: DataFrame) -> DataFrame:
+    """One record per outer fold: what was chosen, and how it does on the fold it never saw."""
+    per = M.auc(oof, "y", "score", ["set", "fold"])
+    hard = M.classification_summary(oof, "y", "pred", 2, ["set", "fold"]).select("set", "fold", F.col("n").alias("rows"), "balanced_accuracy")
+    said = choices.select("set", F.col("outer").alias("fold"), "rep", "n", "inner_auc", "threshold")
+    return said.join(per, ["set", "fold"], "left").join(hard, ["set", "fold"], "left")
+
+
+def permutation_summary(floors: DataFrame) -> DataFrame:
+    """Mean and spread of the AUC of the permuted label sets (set > 0), beside the true one (set 0)."""
+    return floors.agg(
+        F.max(F.when(F.col("set") == 0, F.col("auc"))).alias("auc"),
+        F.avg(F.when(F.col("set") > 0, F.col("auc"))).alias("floor_mean"),
+        F.stddev_pop(F.when(F.col("set") > 0, F.col("auc"))).alias("floor_std"),
+        F.count(F.when(F.col("set") > 0, F.col("auc"))).alias("repeats"),
+    )
+
+
 def plsda_cv(
     rows: DataFrame, ident: str, group: str, label: str, classes: int, vector: str, p: int, folds: DataFrame,
     grid: Sequence[int] = GRID_CLASSES, n_inner: int = INNER_FOLDS,
 ) -> tuple[DataFrame, DataFrame]:
     """Multi-class PLS discriminant under grouped CV; returns (out-of-fold rows, choices).
 
-    The component count is chosen per outer fold by inner balanced accuracy (ties:
-    fewer components) on inner folds of whole groups.
+    The component count is chosen per outer fold by balanced accuracy averaged over the
+    inner folds (ties: fewer components), on inner folds of whole groups.
     """
     others = other_folds(folds, group)
     dealt = settle(position(others.withColumn("__key", seeded_key(group, 0)), ["outer"], "__key", group, "__pos"))
@@ -253,25 +278,29 @@ def plsda_cv(
     sums = _sum_grams(grams, train, group, ["outer", "inner"], p + classes + 1)
     sums = sums.withColumn("cols", F.sequence(F.lit(0), F.lit(classes - 1)))
     fits = settle(fit_paths(sums, ["outer", "inner"], p, grid, "cols"))
-    models = fits.groupBy("outer", "inner").agg(F.collect_list(F.struct("n", "b", "b0")).alias("models"))
-    per_group = test.join(models, ["outer", "inner"]).groupBy(group).agg(
-        F.collect_list(F.struct("outer", "inner", "models")).alias("__tasks")
-    )
-    each = (
-        rows.select(ident, group, F.col(label).cast("int").alias("y"), F.col(vector).cast("array<double>").alias("__x"))
-        .join(per_group, group)
-        .select(ident, group, "y", "__x", F.inline("__tasks"))
-        .select(ident, group, "y", "__x", "outer", "inner", F.inline("models"))
-    )
-    oof = each.select(
-        ident, group, "y", "outer", "inner", "n", linear_scores(F.col("__x"), F.col("b"), F.col("b0")).alias("score")
-    ).withColumn("pred", (F.array_position("score", F.array_max("score")) - 1).cast("int")).persist()
-    judged = M.balanced_accuracy(oof.where("inner >= 0").withColumnRenamed("n", "comps"), "y", "pred", classes, ["outer", "comps"])
-    judged = judged.withColumnRenamed("comps", "n")
-    choices = judged.groupBy("outer").agg(F.min(F.struct((-F.col("balanced_accuracy")).alias("loss"), "n")).alias("b")).select(
+    def calls(fits: DataFrame, where: DataFrame) -> DataFrame:
+        models = fits.groupBy("outer", "inner").agg(F.collect_list(F.struct("n", "b", "b0")).alias("models"))
+        per_group = where.join(models, ["outer", "inner"]).groupBy(group).agg(
+            F.collect_list(F.struct("outer", "inner", "models")).alias("__tasks")
+        )
+        each = (
+            rows.select(ident, group, F.col(label).cast("int").alias("y"), F.col(vector).cast("array<double>").alias("__x"))
+            .join(per_group, group)
+            .select(ident, group, "y", "__x", F.inline("__tasks"))
+            .select(ident, group, "y", "__x", "outer", "inner", F.inline("models"))
+        )
+        return each.select(
+            ident, group, "y", "outer", "inner", "n", linear_scores(F.col("__x"), F.col("b"), F.col("b0")).alias("score")
+        ).withColumn("pred", (F.array_position("score", F.array_max("score")) - 1).cast("int"))
+
+    held_out = calls(fits.where("inner >= 0"), test.where("inner >= 0")).withColumnRenamed("n", "comps")
+    judged = M.balanced_accuracy(held_out, "y", "pred", classes, ["outer", "inner", "comps"])
+    judged = judged.groupBy("outer", F.col("comps").alias("n")).agg(F.avg("balanced_accuracy").alias("score"))
+    choices = settle(judged.groupBy("outer").agg(F.min(F.struct((-F.col("score")).alias("loss"), "n")).alias("b")).select(
         "outer", F.col("b.n").alias("n"), (-F.col("b.loss")).alias("inner_balanced_accuracy")
-    )
-    final = oof.where("inner = -1").join(F.broadcast(choices), ["outer", "n"])
+    ))
+    won = fits.where("inner = -1").join(F.broadcast(choices.select("outer", "n")), ["outer", "n"])
+    final = calls(won, test.where("inner = -1"))
     return final.select(ident, group, F.col("outer").alias("fold"), "n", "y", "pred", "score"), choices
 
 

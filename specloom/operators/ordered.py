@@ -9,9 +9,8 @@ single task.  Everything here works in three steps instead:
    taken inside each (key, range), which spreads one hot key over many tasks;
 3. the per-range totals, at most ``n`` rows per key, give each range its offset.
 
-The quantile cuts only steer the parallelism; the results are exact.  Inputs whose
-scans are together under ``specloom.plainWindowBytes`` (32 MB unless set on the
-session) fit one task whatever their skew, and take the plain window instead.
+The quantile cuts only steer the parallelism; the results are exact, and tables of
+every size take the same path.  Adaptive execution merges ranges that turn out small.
 """
 
 from __future__ import annotations
@@ -23,24 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MAX_RANGES = 1024
-
 
 def range_count(df: DataFrame) -> int:
     """How many value ranges to cut: a few per shuffle partition of the session."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(4, min(MAX_RANGES, 4 * parts))
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Size of the scans under ``df`` by Catalyst's statistics."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def fits_one_task(df: DataFrame) -> bool:
-    limit = int(df.sparkSession.conf.get("specloom.plainWindowBytes", str(32 << 20)))
-    return input_bytes(df) <= limit
+    return max(4, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def with_range(
@@ -94,15 +79,6 @@ def cumulate(
     smaller value of the key.  ``df`` must already hold one row per (keys, value).
     """
     keys = list(keys)
-    if n == 1 or (n is None and fits_one_task(df)):
-        ordered = Window.partitionBy(*keys).orderBy(value)
-        upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.select(
-            "*",
-            F.lag(value).over(ordered).alias("prev_value"),
-            *[(F.sum(m).over(upto) - F.col(m)).alias(f"{m}_before") for m in measures],
-            *[F.sum(m).over(Window.partitionBy(*keys)).alias(f"{m}_total") for m in measures],
-        )
     cut = with_range(df, value, "__range", n, measures)
     totals = cut.groupBy(*keys, "__range").agg(
         F.max(value).alias("__top"), *[F.sum(m).alias(f"__s_{m}") for m in measures]
@@ -145,14 +121,6 @@ def cumulate_rows(
     and ``m_total`` for every measure.
     """
     keys = list(keys)
-    if n == 1 or (n is None and fits_one_task(df)):
-        ordered = Window.partitionBy(*keys).orderBy(value, tiebreak)
-        upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.select(
-            "*",
-            *[(F.sum(m).over(upto) - F.col(m)).alias(f"{m}_before") for m in measures],
-            *[F.sum(m).over(Window.partitionBy(*keys)).alias(f"{m}_total") for m in measures],
-        )
     cut = with_range(df, tiebreak, "__tie", n, [*keys, value, *measures])
     blocks = cut.groupBy(*keys, value, "__tie").agg(*[F.sum(m).alias(m) for m in measures])
     values = cumulate(

@@ -38,20 +38,37 @@ def dense_class_id(kept: Sequence, column: str) -> Column:
     return branches.cast("int")
 
 
-def restrict_classes(label: str, keep: Sequence[int]) -> Column:
+def restrict_classes(label: str, keep: Sequence[int], known: Sequence[int] | None = None) -> Column:
     """Renumber the kept class ids from 0; everything else becomes -1."""
     if len(set(keep)) < 2:
         raise ValueError("a task needs at least two classes")
+    if known is not None and not set(keep) <= set(known):
+        raise ValueError(f"unknown classes: {sorted(set(keep) - set(known))}")
     return dense_class_id(sorted(set(keep)), label)
 
 
+def unique_by(df: DataFrame, keys: Sequence[str], carry: Sequence[str]) -> DataFrame:
+    """One row per key; a key that occurs twice fails the job."""
+    got = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in carry])
+    name = F.concat(F.lit("repeated key: "), *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
+    once = F.when(F.col("__n") == 1, F.lit(True)).otherwise(F.raise_error(name).cast("boolean"))
+    return got.where(once).select(*keys, *carry)
+
+
+def nonempty(df: DataFrame, what: str) -> DataFrame:
+    """The rows themselves; an empty selection fails the job."""
+    found = df.agg(F.count(F.lit(1))).scalar()
+    head = df.sparkSession.range(1).select(F.when(found > 0, F.lit(True)).otherwise(F.raise_error(F.lit(f"{what}: nothing selected")).cast("boolean")).alias("__some"))
+    return df.join(F.broadcast(head), F.col("__some")).drop("__some")  # one row, that checks
+
+
 def three_state(units: DataFrame, labels: DataFrame, key: str, value: str) -> DataFrame:
     """Attach a label where absence means "never scored", not "negative".
 
     ``labels`` holds scored units only; ``value`` NULL means scored without the event.
     Adds ``scored`` and ``label`` (1 event, 0 no event, -1 not scored).
     """
-    tagged = labels.select(key, F.col(value), F.lit(True).alias("scored"))
+    tagged = unique_by(labels, [key], [value]).withColumn("scored", F.lit(True))
     out = units.join(tagged, key, "left").withColumn("scored", F.coalesce("scored", F.lit(False)))
     return out.withColumn(
         "label", F.when(~F.col("scored"), -1).otherwise(F.col(value).isNotNull().cast("int")).cast("int")

@@ -8,16 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import null_safe_join
+from .select import unique_by
 
 
 def attach_clock(views: DataFrame, clock: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left-join the measured clock ``(keys, time, hours, source)`` onto the views.
 
     A missing record gives a NULL time, NaN hours and source 'none'; a record without
-    a source reads as 'measured'.  The clock holds one row per key, so Spark broadcasts
-    it while it is under the session's broadcast threshold and shuffles otherwise.
+    a source reads as 'measured'.  The clock holds one row per key (a repeated key fails the job), so
+    Spark broadcasts it while it is under the session's broadcast threshold.
     """
-    side = clock.select(
+    side = unique_by(clock, keys, ["time", "hours", "source"]).select(
         *keys,
         F.col("time").alias("capture_time"),
         F.col("hours").alias("__hours"),

@@ -13,6 +13,7 @@ from ..operators import models as ML
 from ..operators import reports as RP
 from ..session import settle
 from . import evaluate as E
+from .rank_queries import NEAREST, nearest_class
 from .registry import query, r6, rounded
 
 SEED = 20260817
@@ -21,7 +22,7 @@ P = 64
 
 def spectra(t):
     v = t.embeddings.withColumn("grp", (FO.seeded_key("vec_id", SEED) % 25).cast("int"))
-    return v.select("vec_id", "label", "grp", (F.col("grp") % 5).alias("stratum"), S.snv("embedding").alias("d0"))
+    return v.select("vec_id", "label", "grp", (F.col("grp") % 5).alias("stratum"), S.spectrum_pipeline("embedding", 0).alias("d0"), S.spectrum_pipeline("embedding", 1).alias("d1"))
 
 
 def binary_rows(t):
@@ -42,21 +43,21 @@ def run(t, repeats, vectors):
     rows = binary_rows(t)
     fold = settle(FO.latin_square_folds(rows, "grp", "stratum", "y", 5, SEED).select("grp", "fold"))
     sets = ML.label_sets(rows, "vec_id", "grp", "y", repeats, SEED) if repeats else rows.withColumn("ys", F.array("y"))
-    return ML.nested_cv(sets, "vec_id", "grp", "stratum", vectors, fold, grid=(2, 4, 6), n_sets=repeats + 1, seed=SEED)
+    return ML.nested_cv(sets, "vec_id", "grp", "stratum", vectors, fold, n_sets=repeats + 1, seed=SEED)
 
 
 @query("nested_cv_predictions")
 def nested_cv_predictions(t):
-    """Out-of-fold score and hard call of every vector under nested selection."""
-    oof, _ = run(t, 0, {"d0": ("d0", P)})
-    return oof.select("vec_id", "grp", "fold", "n", "y", r6("score").alias("score"), "pred")
+    """Out-of-fold score and hard call of every vector; representation and components are chosen inside."""
+    oof, _ = run(t, 0, {"d0": ("d0", P), "d1": ("d1", P)})
+    return oof.select("vec_id", "grp", "fold", "rep", "n", "y", r6("score").alias("score"), "pred")
 
 
 @query("permutation_floor")
 def permutation_floor(t):
-    """AUC of the true labels (set 0) and of labels moved between groups (sets 1-3)."""
-    oof, _ = run(t, 3, {"d0": ("d0", P)})
-    return rounded(M.auc(oof, "y", "score", ["set"]), "auc")
+    """AUC of the true labels, and mean and spread over the ten draws of labels moved between groups."""
+    oof, _ = run(t, ML.PERMUTATIONS, {"d0": ("d0", P)})
+    return rounded(ML.permutation_summary(M.auc(oof, "y", "score", ["set"])), "auc", "floor_mean", "floor_std")
 
 
 @query(
@@ -86,24 +87,25 @@ def permuted_label_sets(t):
     )
 
 
-MODES = [("reflectance", 0.0), ("reflectance", 8.0)]
+MODES = [("reflectance", 0.0), ("reflectance", 8.0), ("transmittance", 0.0), ("transmittance", 8.0)]
 
 
 @query("evaluate_representations")
 def evaluate_representations(t):
-    """The whole evaluation: twelve consecutive vectors make a unit, the signs of its
-    first band the slot, and the unit's mean sixth band its outcome."""
-    unit = F.floor(F.col("vec_id") / 12)
+    """The whole evaluation over all fourteen representations: sixteen consecutive vectors make a
+    unit, the signs of two bands the capture, and the unit's mean sixth band its outcome.
+    Units that miss a capture take no part."""
+    unit = F.floor(F.col("vec_id") / 16)
     views = t.embeddings.select(
-        unit.alias("unit"), F.lit("reflectance").alias("mode"),
+        unit.alias("unit"), F.when(F.col("embedding")[1] < 0, "reflectance").otherwise("transmittance").alias("mode"),
         F.when(F.col("embedding")[0] < 0, 0.0).otherwise(8.0).alias("hours"), "embedding",
     )
     label = t.embeddings.groupBy(unit.alias("unit")).agg((F.avg(F.col("embedding")[5]) > 0).cast("int").alias("y"))
     blocks = E.unit_blocks(views, "unit", "embedding", P, MODES)
-    sets = {k: v for k, v in ML.FEATURE_SETS.items() if k in ("refl_0h", "refl_both")}
-    reps, vectors = E.representations(blocks, "unit", MODES, P, sets, [0])
+    whole = blocks.dropna(subset=[f"block_{i}" for i in range(len(MODES))])
+    reps, vectors = E.representations(whole, "unit", MODES, P, ML.FEATURE_SETS, [0, 1])
     rows = reps.join(label, "unit").withColumn("grp", (F.col("unit") % 20).cast("int")).withColumn("stratum", F.col("grp") % 4)
-    out = E.evaluate(rows, "unit", "grp", "stratum", "y", vectors, grid=(2, 4), seed=SEED)
+    out = E.evaluate(rows, "unit", "grp", "stratum", "y", vectors, seed=SEED)
     return rounded(out, "value")
 
 
@@ -128,13 +130,11 @@ def repeated_summary(t):
 
 @query(
     "per_class_recall",
-    """WITH v AS (SELECT label AS y, list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS p FROM embeddings)
+    f"""WITH {NEAREST}
 SELECT CAST(g.c AS INTEGER) AS cls, CAST(count(*) FILTER (y = g.c) AS BIGINT) AS support,
   round(count(*) FILTER (y = g.c AND p = g.c)::DOUBLE / nullif(count(*) FILTER (y = g.c), 0), 6) AS recall,
   round(count(*) FILTER (y = g.c AND p = g.c)::DOUBLE / nullif(count(*) FILTER (p = g.c), 0), 6) AS precision
 FROM v, (SELECT unnest(range(10)) AS c) g GROUP BY g.c""",
 )
 def per_class_recall(t):
-    first = F.slice("embedding", 1, 10)
-    calls = t.embeddings.select("label", (F.array_position(first, F.array_max(first)) - 1).cast("int").alias("p"))
-    return rounded(RP.per_class_recall(calls, "label", "p", 10), "recall", "precision")
+    return rounded(RP.per_class_recall(nearest_class(t), "y", "p", 10), "recall", "precision")

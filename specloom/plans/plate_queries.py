@@ -66,22 +66,46 @@ def pose_search(t):
     return L.choose_pose(seeds, marks, ["o_custkey"]).select("o_custkey", "cand", "score", "margin")
 
 
-@query("fit_plates")
+@query(
+    "fit_plates",
+    f"""WITH w AS (SELECT r, c, row_number() OVER (ORDER BY r, c) - 1 AS idx FROM (SELECT unnest(range(4)) AS r) a, (SELECT unnest(range(7)) AS c) b WHERE NOT {KERNEL}),
+p AS (SELECT c_custkey // 22 AS plate, r::DOUBLE AS r, c::DOUBLE AS c, CASE WHEN c_custkey // 22 % 2 = 1 THEN -1 ELSE 1 END AS turn,
+    (CAST(abs(round(c_acctbal * 100)) AS BIGINT) % 7 - 3)::DOUBLE AS dx, (c_nationkey % 7 - 3)::DOUBLE AS dy FROM customer JOIN w ON idx = c_custkey % 22 WHERE c_acctbal >= -500),
+s AS (SELECT *, turn * c * (74 + plate % 3) + dx AS x, turn * r * 134 + dy AS y FROM p),
+m AS (SELECT plate, min(turn) AS turn, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(c) AS mc, avg(r) AS mr, var_pop(c) AS vc, var_pop(r) AS vr, covar_pop(c, r) AS cr,
+    covar_pop(c, x) AS cx, covar_pop(r, x) AS rx, covar_pop(c, y) AS cy, covar_pop(r, y) AS ry FROM s GROUP BY plate),
+f AS (SELECT *, (cx * vr - cr * rx) / (vc * vr - cr * cr) AS ax, (rx * vc - cr * cx) / (vc * vr - cr * cr) AS bx,
+    (cy * vr - cr * ry) / (vc * vr - cr * cr) AS ay, (ry * vc - cr * cy) / (vc * vr - cr * cr) AS ey FROM m WHERE n >= 8),
+e AS (SELECT plate, sqrt(avg((x - mx - ax * (c - mc) - bx * (r - mr)) ** 2 + (y - my - ay * (c - mc) - ey * (r - mr)) ** 2)) AS rms FROM s JOIN f USING (plate) GROUP BY plate),
+k AS (SELECT plate, id, turn * 1.0 * kc * (74 + plate % 3) + CASE WHEN plate % 5 = 1 AND id = 1 THEN 50 ELSE 0 END AS x, turn * 134.0 * kr AS y, kc, kr FROM m, (VALUES (0, 3, 3), (1, 2, 6)) v(id, kr, kc)),
+o AS (SELECT plate, count(*) FILTER ((k.x - mx - ax * (kc - mc) - bx * (kr - mr)) ** 2 + (k.y - my - ay * (kc - mc) - ey * (kr - mr)) ** 2 > 1600) AS off FROM k JOIN f USING (plate) GROUP BY plate)
+SELECT m.plate, CASE WHEN m.n >= 8 THEN CASE WHEN m.turn = 1 THEN 'identity' ELSE 'rot180' END END AS pose, round(rms, 6) AS rms, CAST(m.n AS BIGINT) AS n_seeds,
+  round(sqrt(ax * ax + ay * ay), 6) AS pitch_x, round(sqrt(bx * bx + ey * ey), 6) AS pitch_y, CASE WHEN m.n >= 8 THEN 'right' END AS chirality, CAST(coalesce(off, 0) AS BIGINT) AS markers_off,
+  CASE WHEN m.n < 8 THEN 'too_few_wells' ELSE '' END AS reasons
+FROM m LEFT JOIN f USING (plate) LEFT JOIN e ON e.plate = m.plate LEFT JOIN o ON o.plate = m.plate""",
+)
 def fit_plates(t):
-    """One plate per 22 customers: wells at the customer's spot, moved by its balance."""
+    """One plate per 22 customers: every second one turned, wells moved and left out by balance,
+    the pitch by plate, and every fifth plate with a marker 50 pixels from its cell."""
     well = P.cells(t.spark).where("kind = 'kernel'").select("row", "col", "index")
-    c = t.customer.select(
-        F.floor(F.col("c_custkey") / 22).alias("plate"), F.col("c_custkey").alias("seed"), (F.col("c_custkey") % 22).cast("int").alias("index"),
-        ((F.col("c_acctbal") * 100).cast("bigint") % 7 - 3).cast("double").alias("dx"), (F.col("c_nationkey") % 7 - 3).cast("double").alias("dy"),
+    plate, turn = F.floor(F.col("c_custkey") / 22), F.when(F.floor(F.col("c_custkey") / 22) % 2 == 1, -1.0).otherwise(1.0)
+    c = t.customer.where("c_acctbal >= -500").select(
+        plate.alias("plate"), turn.alias("turn"), F.col("c_custkey").alias("seed"), (F.col("c_custkey") % 22).cast("int").alias("index"),
+        (F.abs(F.round(F.col("c_acctbal") * 100)).cast("bigint") % 7 - 3).cast("double").alias("dx"), (F.col("c_nationkey") % 7 - 3).cast("double").alias("dy"),
     )
+    wide = (F.col("plate") % 3 + 74).cast("double")
     seeds = c.join(F.broadcast(well), "index").select(
-        "plate", "seed", (F.col("col") * 74.0 + F.col("dx")).alias("x"), (F.col("row") * 134.0 + F.col("dy")).alias("y")
+        "plate", "seed", (F.col("turn") * F.col("col") * wide + F.col("dx")).alias("x"), (F.col("turn") * F.col("row") * 134.0 + F.col("dy")).alias("y")
+    )
+    ids = F.explode(F.array(*[F.struct(F.lit(m).alias("marker_id"), F.lit(r).alias("r"), F.lit(k).alias("k")) for m, (r, k) in ((0, (3, 3)), (1, (2, 6)))]))
+    off = F.when((F.col("plate") % 5 == 1) & (F.col("m.marker_id") == 1), 50.0).otherwise(0.0)
+    marks = c.select("plate", "turn").distinct().withColumn("m", ids).select(
+        "plate", "m.marker_id", (F.col("turn") * F.col("m.k") * wide + off).alias("x"), (F.col("turn") * F.col("m.r") * 134.0).alias("y")
     )
-    marks = seeds.groupBy("plate").agg(F.lit(0).alias("marker_id"), F.lit(3).cast("bigint").alias("i"), F.lit(3).cast("bigint").alias("j"))
     out = L.fit_plates(seeds, marks, ["plate"])
     return out.select(
-        "plate", "pose", "score", "margin", r6("rms").alias("rms"), "n_matched", r6("pitch_x").alias("pitch_x"),
-        r6("pitch_y").alias("pitch_y"), F.array_join("reasons", ",").alias("reasons"), F.array_join("flags", ",").alias("flags"), "status",
+        "plate", "pose", r6("rms").alias("rms"), "n_seeds", r6("pitch_x").alias("pitch_x"), r6("pitch_y").alias("pitch_y"), "chirality",
+        "markers_off", F.array_join("reasons", ",").alias("reasons"),
     )
 
 

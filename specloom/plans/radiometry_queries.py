@@ -141,22 +141,21 @@ def transmittance(t):
   SELECT b.row, b.band, g.row AS src_row, g.band AS src_band FROM validity b JOIN validity g
     ON g.valid AND abs(g.row - b.row) <= 1 AND abs(g.band - b.band) <= 1 WHERE NOT b.valid AND b.band_kept
 ), enough AS (SELECT row, band FROM near GROUP BY row, band HAVING count(*) >= 4),
-grid AS (
-  SELECT 'cap' AS cap, row, band, avg(t) AS t FROM trans GROUP BY row, band
+fixed AS (
+  SELECT n.row, g.line, n.band, avg(g.t) AS t FROM near n JOIN enough USING (row, band)
+  JOIN trans g ON g.row = n.src_row AND g.band = n.src_band GROUP BY n.row, g.line, n.band
 )
-SELECT n.row, CAST(n.band AS INTEGER) AS band, round(avg(g.t), 6) + 0.0 AS x FROM near n JOIN enough USING (row, band)
-JOIN grid g ON g.row = n.src_row AND g.band = n.src_band GROUP BY n.row, n.band""",
+SELECT t.row, t.line, CAST(t.band AS INTEGER) AS band, round(coalesce(f.t, t.t), 6) + 0.0 AS x, f.t IS NOT NULL AS filled
+FROM trans t LEFT JOIN fixed f ON f.row = t.row AND f.line = t.line AND f.band = t.band""",
 )
 def fill_bad_cells(t):
-    """Filled cells of the line-averaged transmittance frame."""
-    from ..operators.collapse import mean_vector
-
+    """Every cell of every line after filling; cells without enough good neighbours stay invalid."""
     v = validity(t)
-    grid = corrected(t, v).groupBy("row").agg(mean_vector("t", BANDS).alias("t")).withColumn("line", F.lit(0))
     src = R.fill_sources(v, "row")
-    filled = R.long_bands(R.fill_bad_cells(grid, src, "row", "line", "t"), "t", "row")
-    done = src.select("row", "band").distinct()
-    return rounded(filled.join(done, ["row", "band"], "left_semi").select("row", "band", "x"), "x")
+    filled = R.long_bands(R.fill_bad_cells(corrected(t, v), src, "row", "line", "t"), "t", "row", "line")
+    done = src.select("row", "band").distinct().withColumn("filled", F.lit(True))
+    out = filled.join(done, ["row", "band"], "left")
+    return rounded(out.select("row", "line", "band", "x", F.coalesce("filled", F.lit(False)).alias("filled")), "x")
 
 
 @query(

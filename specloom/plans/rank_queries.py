@@ -6,7 +6,9 @@ The three-state label is ``labels.quality``: 1, 0, or no row at all (never score
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spectral import dot
 from ..operators import metrics as M
+from ..operators.collapse import mean_vector
 from .registry import Tables, query, r6, rounded
 
 SCORED = """
@@ -251,18 +253,31 @@ def hardest_groups(t):
     return rounded(M.hardest_groups(scored(t), "y", "p", "source"), "accuracy")
 
 
+# Every vector goes to the class whose mean vector has the largest inner product with it,
+# rounded so that both engines break near ties alike.
+NEAREST = """x AS (SELECT vec_id, label, unnest(range(len(embedding))) AS band, unnest(embedding)::DOUBLE AS x FROM embeddings),
+mean AS (SELECT label AS cls, band, avg(x) AS m FROM x GROUP BY 1, 2),
+near AS (SELECT vec_id, x.label AS y, cls, round(sum(x * m), 9) AS s FROM x JOIN mean USING (band) GROUP BY 1, 2, 3),
+v AS (SELECT vec_id, y, arg_min(cls, (-s, cls)) AS p FROM near GROUP BY 1, 2)"""
+
+
+def nearest_class(t):
+    """(y, p) of every vector, scored from all its entries."""
+    size = 64
+    means = t.embeddings.groupBy("label").agg(mean_vector("embedding", size).alias("m"))
+    table = means.agg(F.array_sort(F.collect_list(F.struct("label", "m")))).scalar()  # one entry a class
+    score = F.transform("__m", lambda c: F.struct(-F.round(dot(F.col("embedding").cast("array<double>"), c["m"]), 9), c["label"].alias("cls")))
+    return t.embeddings.withColumn("__m", table).select(F.col("label").cast("int").alias("y"), F.array_min(score)["cls"].cast("int").alias("p"))
+
+
 @query(
     "most_confused_pair",
-    """WITH v AS (SELECT label AS y, list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS p FROM embeddings)
+    f"""WITH {NEAREST}
 SELECT CAST(least(y, p) AS INTEGER) AS class_a, CAST(greatest(y, p) AS INTEGER) AS class_b, CAST(count(*) AS BIGINT) AS n
 FROM v WHERE y <> p GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 1""",
 )
 def most_confused_pair(t):
-    first = F.slice("embedding", 1, 10)
-    calls = t.embeddings.select(
-        F.col("label").cast("int").alias("y"), (F.array_position(first, F.array_max(first)) - 1).cast("int").alias("p")
-    )
-    return M.most_confused_pair(calls, "y", "p")
+    return M.most_confused_pair(nearest_class(t), "y", "p")
 
 
 @query(

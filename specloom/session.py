@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
-    """A local session for tests and benches; clusters bring their own session."""
+    """A local session for tests and benches, with a folder of its own for checkpoints unless
+    ``spark__checkpoint__dir`` names one; clusters bring their own session."""
+    conf.setdefault("spark__checkpoint__dir", f"file://{tempfile.mkdtemp(prefix='specloom-ckpt-')}")
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("specloom")
@@ -27,17 +29,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder in ``spark.checkpoint.dir``; fall back only when it is unset."""
+    """Use the shared folder in ``spark.checkpoint.dir``; a session without one is refused."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="specloom-ckpt-"))
-    else:
+    if not shared:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    sc.setCheckpointDir(shared)
 
 
 def settle(df: DataFrame) -> DataFrame:

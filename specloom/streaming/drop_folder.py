@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.lines import CHANNELS, WIDTH, unpack_lines
+from ..sources.lines import CHANNELS, WIDTH, line_number, number_lines, unpack_lines
 
 
 def watch_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,7 +25,7 @@ def watch_lines(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(
         F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("capture"),
         F.regexp_extract("path", r"([^/]+)$", 1).alias("name"),
-        F.regexp_extract("path", r"/(\d+)_[^/]*$", 1).try_cast("int").alias("line"),
+        line_number(F.regexp_extract("path", r"([^/]+)$", 1)).alias("line"),
         "content",
     )
 
@@ -36,7 +36,7 @@ def ingest(
     """Unpack arriving lines into ``out``/batch=<n>; runs until the folder is drained."""
 
     def commit(batch: DataFrame, number: int) -> None:
-        unpack_lines(batch, width, channels).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        unpack_lines(number_lines(batch), width, channels).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return (
         watch_lines(spark, folder)

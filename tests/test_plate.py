@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from specloom.operators import consistency as C
 from specloom.operators import lattice as L
@@ -21,13 +22,42 @@ def plates(spark):
 
 
 def test_fit_finds_pose_and_status(spark, plates):
-    # Marker 0 sits at plate cell (3, 3), marker 1 at (2, 6).
-    marks = [("straight", 0, 3, 3), ("straight", 1, 6, 2), ("turned", 0, 3, 0), ("turned", 1, 0, 1)]
-    got = {r["cap"]: r for r in L.fit_plates(plates, spark.createDataFrame(marks, "cap string, marker_id int, i bigint, j bigint"), ["cap"]).collect()}
+    # Marker 0 sits at plate cell (3, 3), marker 1 at (2, 6); one of them is read 55 pixels off.
+    marks = [(cap, m, t * c * 74.0 + 800 + off, t * r * 134.0 + 900) for cap, t, off in (("straight", 1, 0.0), ("turned", -1, 30.0), ("off", 1, 0.0))
+             for m, (r, c) in enumerate(((3, 3), (2, 6)))]
+    marks = [(cap, m, x, y + 55.0 * (cap == "off" and m == 1)) for cap, m, x, y in marks]
+    again = plates.where("cap = 'straight'").withColumn("cap", F.lit("off"))
+    known = spark.createDataFrame([("straight", None), ("turned", None), ("sparse", None), ("off", None), ("broken", "unreadable")], "cap string, error string")
+    fits = L.fit_plates(plates.unionByName(again), spark.createDataFrame(marks, "cap string, marker_id int, x double, y double"), ["cap"], known)
+    got = {r["cap"]: r for r in fits.collect()}
+    assert got["off"]["status"] == "needs_review" and got["off"]["flags"] == ["marker_offset"] and got["off"]["markers_off"] == 1
+    assert abs(got["off"]["marker_offsets_px"][1] - 55) < 3 and got["broken"]["status"] == "error" and got["broken"]["reasons"] == ["unreadable"]
+    assert got["straight"]["chirality"] == "right" and abs(got["turned"]["angle_deg"] - 180) < 1 and len(got["turned"]["empty"]) == 2
     assert got["straight"]["pose"] == "identity" and got["straight"]["status"] == "pass"
     assert got["turned"]["pose"] == "rot180" and got["turned"]["n_matched"] == 20
     assert abs(got["turned"]["pitch_x"] - 74) < 1 and abs(got["turned"]["pitch_y"] - 134) < 1
-    assert got["sparse"]["status"] == "fail" and "too_few_wells" in got["sparse"]["reasons"]
+    assert got["sparse"]["status"] == "fail" and got["sparse"]["reasons"] == ["too_few_wells"]
+
+
+def test_lattice_indices_of_rotated_plates_with_gaps():
+    rng = np.random.default_rng(3)
+    for angle in (0.0, 0.4, 2.0):
+        turn = np.array([[np.cos(angle), -np.sin(angle)], [np.sin(angle), np.cos(angle)]])
+        at = np.array([(s % 7, s // 7) for s in L.KERNEL_SPOTS if rng.random() > 0.25])
+        pts = (at * [74.0, 134.0]) @ turn.T + 500 + rng.normal(0, 2, (len(at), 2))
+        index, frame = L.walk_indices(pts, *L.periods(pts))
+        assert np.abs(pts - frame[0] - index @ frame[1:]).max() < 10
+        assert len(np.unique(index, axis=0)) == len(at)
+
+
+def test_constant_profiles_do_not_track(spark):
+    rows = [(1, k, w, 0.5 if k == 0 else float(w % 5) + 0.01 * k) for k in range(4) for w in range(22)]
+    df = spark.createDataFrame(rows, "dish int, k int, well int, occ double")
+    got = {r["k"]: r["verdict"] for r in C.pose_agreement(df, "dish", "k", "well", "occ").collect()}
+    assert got[1] == "ok" and got.get(0, "not_tracking") == "not_tracking"
+    flat = spark.createDataFrame([("a", float(i), 1.0) for i in range(6)] + [("b", float(i), 2.0 * i) for i in range(6)], "g string, x double, y double")
+    got = {r["g"]: r["corr"] for r in C.null_safe_corr(flat, ["g"], "x", "y").collect()}
+    assert got["a"] is None and abs(got["b"] - 1) < 1e-9
 
 
 def test_side_from_marker_ids(spark):

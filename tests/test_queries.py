@@ -53,14 +53,3 @@ def test_without_sql_runs(spark, name):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
-
-
-@pytest.mark.parametrize("name", ["within_group_auc", "average_precision", "best_threshold", "reference_median", "clamp_interpolate", "gaps_islands"])
-def test_ranged_path_gives_the_same(spark, name):
-    """The path large tables take, forced on the small ones."""
-    plain_rows = sorted(map(repr, QUERIES[name](spark, FOLDER).collect()))
-    spark.conf.set("specloom.plainWindowBytes", "1")
-    try:
-        assert sorted(map(repr, QUERIES[name](spark, FOLDER).collect())) == plain_rows
-    finally:
-        spark.conf.unset("specloom.plainWindowBytes")
