@@ -170,14 +170,17 @@ def keep_identified(docs: DataFrame, model: Model, unsure: float = 0.02, text_co
 
     def run(batches):
         for batch in batches:
-            told = [bool(model.labels) and has_letter(text) for _, text in texts([batch], text_col, text_col)]
-            sure = np.zeros(len(told), bool)
-            places = np.flatnonzero(told)
-            for at in range(0, len(places), 256):
-                some = places[at : at + 256]
-                part = batch.column(batch.schema.get_field_index(text_col)).take(pa.array(some))
-                held = np.array([ngram_counts(part[k].as_buffer().to_pybytes(), model.dims) for k in range(len(some))], np.float32)
-                sure[some] = model.predict(held)[2] >= unsure
+            column, sure, held, places = batch.column(batch.schema.get_field_index(text_col)), np.zeros(batch.num_rows, bool), [], []
+            for k in range(batch.num_rows):
+                text = column[k].as_buffer()
+                if text is not None and model.labels and has_letter(data := text.to_pybytes()):
+                    held.append(ngram_counts(data, model.dims))
+                    places.append(k)
+                if len(held) == 256:
+                    sure[places] = model.predict(np.array(held, np.float32))[2] >= unsure
+                    held, places = [], []
+            if held:
+                sure[places] = model.predict(np.array(held, np.float32))[2] >= unsure
             yield batch.filter(pa.array(sure))
 
     return docs.mapInArrow(run, docs.schema)

@@ -92,7 +92,7 @@ class OffsetEncoder:
             while at < n and (p := piece(at))[0].strip(b" ") == b"":
                 at += p[1]
         if at == n:
-            return b"", [n]
+            return b"", [0]
         if self.prefix:
             out += space
             origin += [at] * len(space)
