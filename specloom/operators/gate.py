@@ -118,6 +118,25 @@ def fingerprint_is(files: DataFrame, sha256: str, name: str = "annotation file u
     return none_left(files.where(F.col("sha256") != sha256), name)
 
 
+def boxes_match(stored: DataFrame, boxes: DataFrame, keys: Sequence[str], name: str = "stored areas and boxes match the masks") -> DataFrame:
+    """Stored (area, c_min, c_max, r_min, r_max) against those of the decoded masks."""
+    said = lambda d: d.select(*keys, F.struct(*[F.col(c).cast("bigint").alias(c) for c in ("area", "c_min", "c_max", "r_min", "r_max")]).alias("b"))
+    return recomputed_equal(said(stored), said(boxes), keys, "b", name)
+
+
+def single_component(stats: DataFrame, name: str = "masks are one component") -> DataFrame:
+    return none_left(stats.where("n_components > 1"), name)
+
+
+def off_border(boxes: DataFrame, h: str, w: str, name: str = "masks stay off the border") -> DataFrame:
+    touches = (F.col("c_min") <= 0) | (F.col("r_min") <= 0) | (F.col("c_max") >= F.col(w) - 1) | (F.col("r_max") >= F.col(h) - 1)
+    return none_left(boxes.where(touches), name)
+
+
+def more_than_one(df: DataFrame, column: str, name: str) -> DataFrame:
+    return several(df, column, 2, name)
+
+
 def gate(*checks: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 

@@ -13,44 +13,44 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..session import settle
+
 MIN_CONTAINMENT = 0.50
 MARKER_LABEL, RIM_LABEL = 100, 200
 
 
-def rle_runs(masks: DataFrame, keys: Sequence[str], counts: str) -> DataFrame:
-    """Foreground runs (start, length) of run lengths that alternate from background.
+SEGMENTS = T.StructType([T.StructField(x, T.ArrayType(T.LongType())) for x in ("c", "r0", "r1")])
 
-    The running sum is per mask: one mask is one row, so its runs are bounded.
-    """
-    runs = masks.select(*keys, "h", F.posexplode(counts).alias("pos", "n"))
-    upto = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        runs.withColumn("start", F.sum("n").over(upto) - F.col("n"))
-        .where((F.col("pos") % 2 == 1) & (F.col("n") > 0))
-        .select(*keys, "h", "start", F.col("n").cast("bigint").alias("length"))
-    )
 
-
-def run_segments(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Split column-major runs at column borders."""
-    h, last = F.col("h"), F.col("start") + F.col("length") - 1
-    first_c, last_c = F.floor(F.col("start") / h), F.floor(last / h)
-    cut = runs.select(
-        *keys, "h", "start", last.alias("last"), F.explode(F.sequence(first_c, last_c)).alias("c")
-    )
-    return cut.select(
-        *keys,
-        "c",
-        F.when(F.col("c") == F.floor(F.col("start") / h), F.col("start") % h).otherwise(0).cast("bigint").alias("r0"),
-        F.when(F.col("c") == F.floor(F.col("last") / h), F.col("last") % h).otherwise(h - 1).cast("bigint").alias("r1"),
-    )
+@F.pandas_udf(SEGMENTS)
+def _segments(counts: pd.Series, h: pd.Series) -> pd.DataFrame:
+    """Column segments of one mask a row: a running sum over its run lengths, cut at column borders."""
+    out = []
+    for lengths, tall in zip(counts, h):
+        n = np.asarray([] if lengths is None else lengths, dtype=np.int64)
+        start = np.cumsum(n) - n
+        fore = (np.arange(len(n)) % 2 == 1) & (n > 0)
+        first, last = start[fore], (start + n - 1)[fore]
+        columns = last // tall - first // tall + 1
+        run = np.repeat(np.arange(len(first)), columns)
+        c = first[run] // tall + np.arange(len(run)) - np.repeat(np.cumsum(columns) - columns, columns)
+        r0 = np.where(c == first[run] // tall, first[run] % tall, 0)
+        r1 = np.where(c == last[run] // tall, last[run] % tall, tall - 1)
+        out.append((c, r0, r1))
+    return pd.DataFrame(out, columns=["c", "r0", "r1"])
 
 
 def decode_rle(masks: DataFrame, keys: Sequence[str], counts: str) -> DataFrame:
-    """Column segments of run-length encoded masks; ``masks`` also holds the height ``h``."""
-    return run_segments(rle_runs(masks, keys, counts), keys)
+    """Column segments of run-length encoded masks; ``masks`` also holds the height ``h``.
+
+    Run lengths alternate from background.  A mask is one row, so its running sum needs no shuffle.
+    """
+    cut = masks.select(*keys, _segments(F.col(counts).cast("array<bigint>"), F.col("h").cast("bigint")).alias("__s"))
+    zipped = F.arrays_zip(F.col("__s.c").alias("c"), F.col("__s.r0").alias("r0"), F.col("__s.r1").alias("r1"))
+    return cut.select(*keys, F.inline(zipped))
 
 
 def mask_box(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -183,6 +183,17 @@ def largest_component(segments: DataFrame, keys: Sequence[str]) -> tuple[DataFra
     return kept, stats.drop("component")
 
 
+def prepare(segments: DataFrame, keys: Sequence[str], px: int, size: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Largest component, erosion by ``px``, largest component again: (segments, one row of counts per mask).
+
+    Counts are (keys, n_components, dropped_px, raw_px), raw_px before the erosion.  Erosion can
+    pinch a mask in two, hence the second pass.
+    """
+    kept, stats = largest_component(segments, keys)
+    counted = stats.select(*keys, "n_components", "dropped_px", (F.col("raw_px") - F.col("dropped_px")).alias("raw_px"))
+    return (largest_component(erode(kept, keys, px, size), keys)[0] if px > 0 else kept), counted
+
+
 def quad_segments(cells: DataFrame, keys: Sequence[str], h: str, w: str) -> DataFrame:
     """Rasterise convex quads: for every column the rows inside, borders included.
 
@@ -260,7 +271,8 @@ def assign(
 ) -> tuple[DataFrame, DataFrame]:
     """Match masks to kernel wells; returns (rows, problems).
 
-    ``masks``     (on, mask, order, h, w): every annotation with the frame it was drawn on
+    ``masks``     (on, mask, order, h, w): every annotation with the frame it was drawn on, and
+                  optionally raw_px, its pixels before erosion
     ``segments``  (on, mask, c, r0, r1): its pixels
     ``labels``    (on, c, r0, r1, label): label = well index + 1, or a marker/rim sentinel
     ``captures``  (on, h, w, status, wells array<int>): the fitted plates and their labels
@@ -269,22 +281,24 @@ def assign(
     fitted = captures.select(*on, F.col("h").alias("__h"), F.col("w").alias("__w"), "status", "wells")
     good = captures.where("status <> 'fail'").select(*on, F.col("h").alias("__h"), F.col("w").alias("__w"))
     usable = masks.join(good, on).where((F.col("h") == F.col("__h")) & (F.col("w") == F.col("__w"))).drop("__h", "__w")
+    raw = F.col("raw_px") if "raw_px" in masks.columns else F.lit(0)
     kernel = (F.col("label") > WHOLE) & (F.col("label") < MARKER_LABEL)
     stats = overlap(segments, labels, on, mask).groupBy(*on, mask).agg(
         F.max(F.when(F.col("label") == WHOLE, F.col("px"))).alias("npx"),
         F.min(F.when(kernel, F.struct((-F.col("px")).alias("loss"), F.col("label")))).alias("b"),
     )
     judged = usable.join(stats, [*on, mask], "left").select(
-        *on, mask, order, "npx", F.col("b.label").alias("label"),
+        *on, mask, order, "npx", F.col("b.label").alias("label"), raw.alias("raw_px"),
         F.try_divide((-F.col("b.loss")).cast("double"), F.col("npx").cast("double")).alias("containment"),
     )
     verdict = (
-        F.when(F.col("npx").isNull(), "EMPTY_MASK")
+        F.when(F.col("npx").isNull() & (F.col("raw_px") > 0), "MASK_ERODED_AWAY")
+        .when(F.col("npx").isNull(), "EMPTY_MASK")
         .when(F.col("label").isNull(), "MASK_OFF_LATTICE")
         .when(F.col("containment") < min_containment, "MASK_STRADDLES_CELLS")
     )
     # One row per mask behind the pass over all segments; several branches read it.
-    judged = judged.withColumn("problem", verdict).persist()
+    judged = settle(judged.withColumn("problem", verdict).drop("raw_px"))
     fits = judged.where("problem IS NULL")
     claim = fits.groupBy(*on, "label").agg(F.min(F.struct(F.col(order).alias("o"), F.col(mask).alias("m"))).alias("first"))
     placed = fits.join(claim, [*on, "label"])

@@ -24,10 +24,11 @@ def working_pixels(cube: DataFrame, width: int) -> DataFrame:
     return cube.withColumn("x", F.lit(width - 1) - F.col("row")).withColumn("y", F.col("line"))
 
 
-def frame_identity(cube: DataFrame, width: int) -> DataFrame:
-    """Pixels whose working coordinates do not lead back to their cube position."""
-    w = working_pixels(cube, width)
-    return w.where((F.lit(width - 1) - F.col("x") != F.col("row")) | (F.col("y") != F.col("line")))
+def frame_identity(cube: DataFrame, working: DataFrame, on: Sequence[str], width: int) -> DataFrame:
+    """Pixels of a stored working frame (on, x, y, bands) that differ from the cube they were cut from."""
+    want = working_pixels(cube, width).select(*on, "x", "y", F.col("bands").alias("__want"))
+    both = working.select(*on, "x", "y", "bands").join(want, [*on, "x", "y"], "left")
+    return both.where(~F.col("bands").eqNullSafe(F.col("__want"))).drop("__want")
 
 
 def view_pixels(views: DataFrame, pixels: DataFrame, on: Sequence[str], view: str, width: str, lines: str) -> DataFrame:

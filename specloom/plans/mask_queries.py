@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import masks as K
 from ..operators import plate as P
+from ..session import settle
 from .registry import query, r6
 
 H, CELL_W = 40, 400
@@ -41,7 +42,24 @@ def rle_decode(t):
     return K.mask_box(K.decode_rle(text_masks(t), ["doc_id"], "counts"), ["doc_id"])
 
 
-@query("largest_component")
+# Components by spreading the smallest number along touching segments until nothing changes.
+COMPONENTS = f"""{RUNS}, node AS (SELECT row_number() OVER (ORDER BY doc_id, c, r0) AS id, * FROM seg),
+edge AS (
+  SELECT a.id AS a, b.id AS b FROM node a JOIN node b ON a.doc_id = b.doc_id AND b.c IN (a.c, a.c + 1) AND a.id <> b.id
+    AND b.r0 <= a.r1 + 1 AND b.r1 >= a.r0 - 1
+), both_ways AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+lab(id, l) USING KEY (id) AS (
+  SELECT id, id FROM node UNION
+  SELECT e.b, min(lab.l) FROM lab JOIN both_ways e ON e.a = lab.id JOIN recurring.lab r ON r.id = e.b WHERE lab.l < r.l GROUP BY e.b
+), comp AS (SELECT doc_id, l, sum(r1 - r0 + 1) AS px, min((r0, c)) AS first FROM node JOIN lab USING (id) GROUP BY 1, 2),
+large AS (SELECT doc_id, arg_min(l, (-px, first)) AS l FROM comp GROUP BY doc_id)"""
+
+
+@query(
+    "largest_component",
+    f"""WITH RECURSIVE {COMPONENTS} SELECT doc_id, CAST(count(*) AS BIGINT) AS n_components, CAST(sum(px) AS BIGINT) AS raw_px,
+CAST(sum(px) - max(px) AS BIGINT) AS dropped_px FROM comp GROUP BY doc_id""",
+)
 def largest_component(t):
     """Components of every text mask: how many, and what the largest leaves out."""
     seg = K.decode_rle(text_masks(t), ["doc_id"], "counts")
@@ -66,17 +84,17 @@ def erode(t):
     return seg.groupBy("doc_id").agg(F.sum(F.col("r1") - F.col("r0") + 1).alias("area"))
 
 
-ASSIGN = f"""{RUNS},
+ASSIGN = f"""{COMPONENTS}, big AS (SELECT node.* FROM node JOIN lab USING (id) JOIN large USING (doc_id, l)),
 cell(r, c, lab) AS (
   SELECT r, c, CASE WHEN r IN (0, 3) AND c IN (0, 6) THEN 200 WHEN (r = 3 AND c = 3) OR (r = 2 AND c = 6) THEN 100
     ELSE CAST(sum(CASE WHEN (r IN (0, 3) AND c IN (0, 6)) OR (r = 3 AND c = 3) OR (r = 2 AND c = 6) THEN 0 ELSE 1 END)
          OVER (ORDER BY r * 7 + c ROWS UNBOUNDED PRECEDING) AS INTEGER) END
   FROM (SELECT unnest(range(4)) AS r) a, (SELECT unnest(range(7)) AS c) b
 ), hits AS (
-  SELECT s.source, s.doc_id, cell.lab, sum(r1 - r0 + 1) AS px FROM seg s
+  SELECT s.source, s.doc_id, cell.lab, sum(r1 - r0 + 1) AS px FROM big s
   JOIN cell ON cell.r = s.doc_id % 4 AND cell.c = least((s.c + 400 * (s.doc_id // 4 % 7)) // 400, 6)
   WHERE s.c + 400 * (s.doc_id // 4 % 7) <= 2800 GROUP BY 1, 2, 3
-), tot AS (SELECT doc_id, sum(r1 - r0 + 1) AS npx FROM seg GROUP BY doc_id),
+), tot AS (SELECT doc_id, sum(r1 - r0 + 1) AS npx FROM big GROUP BY doc_id),
 best AS (SELECT doc_id, arg_min(lab, (-px, lab)) AS lab, max(px) AS px FROM hits WHERE lab < 100 GROUP BY doc_id),
 judged AS (
   SELECT d.source, d.doc_id, b.lab, t.npx, b.px / t.npx::DOUBLE AS containment,
@@ -87,9 +105,10 @@ judged AS (
 
 
 def placed(t):
-    """Text masks moved to the plate spot their id picks, with the fitted plate's labels."""
+    """Largest components of text masks, moved to the plate spot their id picks, with the fitted plate's labels."""
     spot_r, spot_c = F.col("doc_id") % 4, F.floor(F.col("doc_id") / 4) % 7
-    seg = K.decode_rle(text_masks(t), ["source", "doc_id"], "counts").select(
+    whole = K.decode_rle(text_masks(t), ["source", "doc_id"], "counts")
+    seg = settle(K.prepare(whole, ["source", "doc_id"], 0, t.documents)[0]).select(
         "source", "doc_id", (F.col("c") + spot_c * CELL_W).alias("c"),
         (F.col("r0") + spot_r * H).alias("r0"), (F.col("r1") + spot_r * H).alias("r1"),
     )
@@ -116,7 +135,7 @@ def placed(t):
 
 @query(
     "overlap_assign",
-    f"""WITH {ASSIGN} SELECT j.source, doc_id, CAST(j.lab - 1 AS INTEGER) AS cell_index, round(containment, 6) AS containment,
+    f"""WITH RECURSIVE {ASSIGN} SELECT j.source, doc_id, CAST(j.lab - 1 AS INTEGER) AS cell_index, round(containment, 6) AS containment,
 CAST(npx AS BIGINT) AS npx FROM judged j JOIN claim c ON c.source = j.source AND c.lab = j.lab AND c.m = j.doc_id WHERE problem IS NULL""",
 )
 def overlap_assign(t):
@@ -126,7 +145,7 @@ def overlap_assign(t):
 
 @query(
     "assign_problems",
-    f"""WITH {ASSIGN}, wells AS (SELECT source, CAST(w AS INTEGER) AS lab FROM (SELECT DISTINCT source FROM documents), (SELECT unnest(range(1, 23)) AS w))
+    f"""WITH RECURSIVE {ASSIGN}, wells AS (SELECT source, CAST(w AS INTEGER) AS lab FROM (SELECT DISTINCT source FROM documents), (SELECT unnest(range(1, 23)) AS w))
 SELECT source, problem, CAST(count(*) AS BIGINT) AS n FROM (
   SELECT source, problem FROM judged WHERE problem IS NOT NULL UNION ALL
   SELECT j.source, 'TWO_MASKS_ONE_CELL' FROM judged j JOIN claim c ON c.source = j.source AND c.lab = j.lab WHERE problem IS NULL AND c.m <> doc_id UNION ALL

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from specloom.operators import masks as K
 from specloom.operators import patches
@@ -90,6 +91,18 @@ def test_erode(blobs, px):
         assert (from_segments([r for r in got if r["id"] == i], h, w) == want).all()
 
 
+def test_prepare_erodes_between_two_component_passes(spark, blobs):
+    ms, df, h, w = blobs
+    m = np.zeros((h, w), bool)
+    m[2:7, 2:7] = m[2:7, 9:17] = m[4, 7:9] = m[12, 20] = True  # two blocks on a bridge, and a speck
+    one = spark.createDataFrame([(1, h, w, [int(x) for x in to_rle(m)])], "id int, h bigint, w bigint, counts array<int>")
+    kept, stats = K.prepare(K.decode_rle(one, ["id"], "counts"), ["id"], 1, one)
+    want = np.zeros((h, w), bool)
+    want[3:6, 10:16] = want[4, 9] = True
+    assert (from_segments(kept.collect(), h, w) == want).all()
+    assert tuple(stats.first()) == (1, 2, 1, int(m.sum()) - 1)
+
+
 def test_quads_and_later_cell_wins(spark):
     rows = [(1, "a", 0, [[1.0, 1.0], [5.0, 1.0], [5.0, 4.0], [1.0, 4.0]]), (1, "b", 1, [[4.0, 2.0], [8.0, 2.0], [8.0, 6.0], [4.0, 6.0]]),
             (1, "c", 2, [[12.0, 0.0], [14.0, 2.0], [12.0, 4.0], [10.0, 2.0]])]
@@ -116,13 +129,13 @@ def test_assignment_reports_every_problem(spark):
     box("ok", 6, 25, 38)
     box("shape", 7, 0, 3)
     box("bad", 8, 0, 3)
-    masks = spark.createDataFrame([(c, m, m, 10, 40) for c, m in [("ok", 1), ("ok", 2), ("ok", 3), ("ok", 4), ("ok", 5), ("ok", 6), ("shape", 7), ("bad", 8)]],
-                                  "cap string, m int, pos int, h int, w int")
+    masks = spark.createDataFrame([(c, m, m, 10, 40, 7 if m == 9 else 0) for c, m in [("ok", 1), ("ok", 2), ("ok", 3), ("ok", 4), ("ok", 5), ("ok", 6), ("ok", 9), ("shape", 7), ("bad", 8)]],
+                                  "cap string, m int, pos int, h int, w int, raw_px int")
     segs = spark.createDataFrame(seg, "cap string, m int, c bigint, r0 bigint, r1 bigint")
     rows, problems = K.assign(masks, segs, labels, caps, ["cap"], "m", "pos")
     assert {(r["m"], r["cell_index"], r["containment"]) for r in rows.collect()} == {(1, 0, 1.0), (3, 1, 1.0)}
     assert {(r["cap"], r["m"], r["problem"]) for r in problems.collect()} == {
-        ("ok", 2, "TWO_MASKS_ONE_CELL"), ("ok", 4, "MASK_OFF_LATTICE"), ("ok", 5, "EMPTY_MASK"), ("ok", 6, "MASK_STRADDLES_CELLS"),
+        ("ok", 2, "TWO_MASKS_ONE_CELL"), ("ok", 4, "MASK_OFF_LATTICE"), ("ok", 5, "EMPTY_MASK"), ("ok", 9, "MASK_ERODED_AWAY"), ("ok", 6, "MASK_STRADDLES_CELLS"),
         ("ok", None, "CELL_WITHOUT_MASK"), ("shape", None, "SHAPE_MISMATCH"), ("bad", None, "FIT_FAILED")}
 
 
@@ -133,7 +146,10 @@ def test_patch_of_an_axis_aligned_cell(spark):
     cube = spark.createDataFrame(
         [("cap", r, y, a[r, y].tolist(), [False] * bands, 20 <= y < 60) for r in range(width) for y in range(lines)],
         "cap string, row int, line int, bands array<float>, sat array<boolean>, inside boolean")
-    assert patches.frame_identity(cube, width).count() == 0
+    stored = patches.working_pixels(cube, width).select("cap", "x", "y", "bands")
+    assert patches.frame_identity(cube, stored, ["cap"], width).count() == 0
+    moved = stored.withColumn("y", F.when(F.col("x") == 3, F.lit(lines - 1) - F.col("y")).otherwise(F.col("y")))
+    assert patches.frame_identity(cube, moved, ["cap"], width).count() == lines
     views = spark.createDataFrame([("cap", "v", [[10.0, 15.0], [42.0, 15.0], [42.0, 79.0], [10.0, 79.0]], width, lines)],
                                   "cap string, view string, corners array<array<double>>, w int, n int")
     px = patches.view_pixels(views, patches.working_pixels(cube, width), ["cap"], "view", "w", "n")
