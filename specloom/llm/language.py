@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rows, id_and_text, texts
+from .common import LOWEST, Rows, id_and_text, texts
 
 UNKNOWN = "und"
 ASCII_LETTER = re.compile(rb"[A-Za-z]").search
@@ -82,9 +82,14 @@ class Model:
 
 def sample(docs: DataFrame, per_label: int, dims: int, label_col: str, learn: F.Column) -> tuple[list[str], np.ndarray]:
     """Labels and features of at most ``per_label`` documents of each label, by hash of the id."""
-    pick = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    some = docs.where(learn & F.col(label_col).isNotNull() & F.col("text").isNotNull()).select(F.col(label_col).alias("label"), "doc_id", "text")
-    some = some.withColumn("n", F.row_number().over(pick)).where(F.col("n") <= per_label).select("label", "text")
+    named = docs.where(learn & F.col(label_col).isNotNull() & F.col("text").isNotNull()).select(
+        F.col(label_col).alias("label"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("id"), F.xxhash64("text").alias("th"), "text"
+    )
+    pick = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id", "th")
+    chosen = named.select("label", "id", "th").withColumn("n", F.row_number().over(pick)).where(F.col("n") <= per_label).drop("n").distinct()
+    # per_label rows of each label at most, so small enough for every task
+    some = named.join(F.broadcast(chosen), ["label", "id", "th"], "left_semi")
+    some = some.groupBy("label", "id", "th").agg(F.first("text").alias("text")).select("label", "text")  # repeated rows count once
     schema = pa.schema([("label", pa.string()), ("features", pa.binary())])
 
     def run(batches):
