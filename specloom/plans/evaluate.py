@@ -65,9 +65,9 @@ def evaluate(
 
     Every repeat re-deals whole groups to folds.  Label set 0 is the truth; the others
     are permutation floors, run on the first repeat.  The unit table is read by every
-    fold's plans, so it is held; the fold map is one row per group and is written out.
+    fold's plans, so it is written out, as the fold map is.
     """
-    rows = rows.persist()
+    rows = settle(rows)
     strata = settle(rows.groupBy(group).agg(F.min(stratum).alias(stratum)))
     out = []
     for r in range(repeats):
@@ -75,7 +75,7 @@ def evaluate(
         n_perm = permutations if r == 0 else 0
         data = ML.label_sets(rows, ident, group, label, n_perm, seed) if n_perm else rows.withColumn("ys", F.array(F.col(label).cast("int")))
         oof, _ = ML.nested_cv(data, ident, group, stratum, vectors, fold, grid=grid, n_sets=n_perm + 1, seed=seed + r)
-        truth = oof.where("set = 0").join(strata, group).persist()
+        truth = settle(oof.where("set = 0").join(strata, group))
         out.append(controls(truth, group, stratum, ident).select(F.lit(r).alias("repeat"), F.lit(0).alias("label_set"), "scope", "metric", "value"))
         if n_perm:
             floor = M.auc(oof.where("set > 0"), "y", "score", ["set"])

@@ -11,6 +11,7 @@ from ..operators import radiometry as R
 from ..operators.interpolate import clamp_interpolate
 from ..operators.ordered import exact_percentiles
 from ..operators.timing import micros
+from ..session import settle
 from .registry import query, r6, rounded
 
 BANDS = 64
@@ -34,7 +35,7 @@ def white_frame(t):
 
 def validity(t):
     """The calibration set, computed once per query: one row per sensor cell."""
-    return R.white_validity(dark_frame(t), white_frame(t), "row", 0.93, 1.08).persist()
+    return settle(R.white_validity(dark_frame(t), white_frame(t), "row", 0.93, 1.08))
 
 
 def frames(t):
