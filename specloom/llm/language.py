@@ -134,7 +134,7 @@ def train(docs: DataFrame, learn: F.Column, per_label: int = 400, most_labels: i
     return fit(labels, features, dims)
 
 
-def identify(docs: DataFrame, model: Model, unsure: float = 0.02, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, model: Model, unsure: float = 0.005, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred, score, ambiguous, one row a row of the input.
 
     ``und`` with score 0 for a text that is null or has no letter, or if nothing was learned.
@@ -170,7 +170,7 @@ def identify(docs: DataFrame, model: Model, unsure: float = 0.02, id_col: str =
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
-def keep_identified(docs: DataFrame, model: Model, unsure: float = 0.02, text_col: str = "text") -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, unsure: float = 0.005, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose language is told: neither ``und`` nor ambiguous."""
 
     def run(batches):
