@@ -234,7 +234,8 @@ def repeated_runs(docs: DataFrame, length: int, symbol: int, hot: int, chunk_byt
     """id, th, first, last: runs of starts whose strings occur elsewhere too."""
     found = staged(run_table(docs, length), "runs")
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b")).where("n > 1")
-    shared = staged(found.join(grams.select("gram", (F.col("a") != F.col("b")).alias("mixed")), "gram"), "shared-runs")
+    grams = staged(grams.select("gram", (F.col("a") != F.col("b")).alias("mixed")), "grams")  # a table, so that the join can split a hot k-gram
+    shared = staged(found.join(grams, "gram"), "shared-runs")
     alike = shared.where("not mixed")
     mixed_runs = shared.where("mixed")
     kinds = mixed_runs.groupBy("gram", "context").agg(F.count("*").alias("copies"), F.min(F.struct("id", "th", "first", "last")).alias("r"))
@@ -306,7 +307,7 @@ def repeated_runs(docs: DataFrame, length: int, symbol: int, hot: int, chunk_byt
     return alike.select(*same).unionByName(copied.select(*same)).unionByName(resolved).unionByName(counted)
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, symbol: int = 100, hot: int = 2048, chunk_bytes: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, symbol: int = 100, hot: int = 2048, chunk_bytes: int = 768 << 10, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, kept (bytes left; with ``as_text`` a string, less what is left of characters that were cut), removed (array of begin and end in bytes of the text), and carried columns.
 
     A byte goes if a string of ``length`` bytes over it also starts anywhere else in the input,
