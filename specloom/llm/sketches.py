@@ -80,27 +80,38 @@ def peel(one: tuple[list[int], list[int]], other: tuple[list[int], list[int]]) -
     return None if any(counts) or any(sums) else (left, right)
 
 
-def difference(one: list[int], other: list[int], cells: int = BASE_CELLS) -> tuple[set[int], set[int]]:
-    """Peel at doubling sizes; digests that collide for good fall back to the sets themselves."""
-    while cells <= 64 * (len(one) + len(other) + BASE_CELLS):
-        if (found := peel(sketch(one, cells), sketch(other, cells))) is not None:
+def sizes(n: int) -> list[int]:
+    """Table sizes to try for two texts of n paragraphs in all: small, larger, one that takes even
+    texts without a common paragraph, then that doubled again and again."""
+    full = 8 * BASE_CELLS
+    while full < 1.5 * n:
+        full *= 2
+    return [BASE_CELLS, 4 * BASE_CELLS, *(full << k for k in range(6))]
+
+
+def difference(one: list[int], other: list[int], base: tuple | None = None) -> tuple[set[int], set[int]]:
+    """Peel at growing sizes; digests that collide for good fall back to the sets themselves.
+
+    ``base``: both tables of the first size, if they are at hand.
+    """
+    for cells in sizes(len(one) + len(other)):
+        tables = base if base and cells == BASE_CELLS else (sketch(one, cells), sketch(other, cells))
+        if (found := peel(*tables)) is not None:
             return found
-        cells *= 2
     return set(one) - set(other), set(other) - set(one)
 
 
-def likeness(one: list[int], other: list[int]) -> float:
+def likeness(one: list[int], other: list[int], base: tuple | None = None) -> float:
     """Shared paragraphs over all paragraphs of both; 1 if neither has any."""
-    only_one, only_other = difference(one, other)
+    only_one, only_other = difference(one, other, base)
     shared = len(one) - len(only_one)
     total = shared + len(only_one) + len(only_other)
     return shared / total if total else 1.0
 
 
-def shown(keys: list[int]) -> str:
+def shown(n: int, table: tuple[list[int], list[int]]) -> str:
     """The base table as text: the number of paragraphs, then each cell's count (mod 256) and digest sum."""
-    counts, sums = sketch(keys, BASE_CELLS)
-    return f"{len(keys):x}-" + struct.pack(f"<{BASE_CELLS}B{BASE_CELLS}Q", *(c & 255 for c in counts), *sums).hex()
+    return f"{n:x}-" + struct.pack(f"<{BASE_CELLS}B{BASE_CELLS}Q", *(c & 255 for c in table[0]), *table[1]).hex()
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -144,14 +155,18 @@ def versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches):
         out, unpress = Rows(RESULT_ROWS), zstandard.ZstdDecompressor()
-        held = None  # run, id, text and digests of the row whose next is still to come
+        held = None  # run, id, text, digests and base table of the row whose next is still to come
 
         def told(own, following):
-            _, doc_id, text, keys = own
+            _, doc_id, text, keys, table = own
             replaced = len(text) // 4
             edited = text[: len(text) - replaced] + following[2][:replaced]
             edited_keys = digests(edited)
-            return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), shown(keys), shown(edited_keys), likeness(keys, edited_keys), likeness(keys, following[3])
+            edited_table = sketch(edited_keys, BASE_CELLS)
+            return (
+                doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), shown(len(keys), table), shown(len(edited_keys), edited_table),
+                likeness(keys, edited_keys, (table, edited_table)), likeness(keys, following[3], (table, following[4])),
+            )
 
         for batch in batches:
             names = [batch.column(batch.schema.get_field_index(c)) for c in ("run", "after", "doc_id", "packed")]
@@ -160,7 +175,8 @@ def versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 if after and (held is None or held[0] != at):
                     continue  # a further copy of the row after the run
                 text = unpress.decompress(names[3][k].as_py()).decode()
-                row = (at, doc_id, text, digests(text))
+                keys = digests(text)
+                row = (at, doc_id, text, keys, sketch(keys, BASE_CELLS))
                 if held is not None:
                     yield from out.add(*told(held, row), weight=600)
                 held = None if after else row
