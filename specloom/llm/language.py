@@ -2,13 +2,14 @@
 
 Every language has a codeword; one linear classifier on hashed byte n-grams predicts each bit.
 Decoding weighs each bit's loss by how well its classifier does on the sample, takes the nearest
-codeword and flags a text whose second codeword is almost as near.
+codeword and flags a text whose second codeword is almost as near, by the gaps of held-out texts.
 """
 
 from __future__ import annotations
 
 import itertools
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +20,10 @@ from pyspark.sql import functions as F
 from .common import LOWEST, Rows, id_and_text, texts
 
 UNKNOWN = "und"
+#: Share of correctly told held-out texts whose gap lies below the band of ambiguity.
+BAND_QUANTILE = 0.01
+#: Fewer held-out texts than this below the quantile cannot place it; then the band is ``PLAIN_BAND``.
+LEAST_BELOW, PLAIN_BAND = 3, 0.02
 ASCII_LETTER = re.compile(rb"[A-Za-z]").search
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789\n\t\r", b"abcdefghijklmnopqrstuvwxyz             ")
 
@@ -64,6 +69,7 @@ class Model:
     bias: np.ndarray
     trust: np.ndarray  # weight of each bit's loss
     dims: int
+    band: float = PLAIN_BAND  # a gap below it is ambiguous
 
     def distances(self, features: np.ndarray) -> np.ndarray:
         """Loss-weighted distance to each codeword, a row a text."""
@@ -121,6 +127,24 @@ def fit(labels: list[str], features: np.ndarray, dims: int, ridge: float = 0.05)
     return Model(names, code, weights.astype(np.float32), (bias - mean @ weights).astype(np.float32), trust.astype(np.float32), dims)
 
 
+def band(labels: list[str], features: np.ndarray, dims: int, quantile: float = BAND_QUANTILE, folds: int = 4) -> float:
+    """The ``quantile`` of the gaps of correctly told texts, each told by a fit without its fold of the sample."""
+    seen, fold = Counter(), np.zeros(len(labels), int)
+    for k, label in enumerate(labels):
+        fold[k] = seen[label] % folds
+        seen[label] += 1
+    if len(seen) < 2:
+        return PLAIN_BAND
+    told = []
+    for out in (fold == k for k in range(folds)):
+        if out.any() and not out.all():
+            model = fit([x for x, o in zip(labels, out, strict=True) if not o], features[~out], dims)
+            best, _, gap = model.predict(features[out])
+            right = np.array([model.labels[b] for b in best]) == np.array(labels)[out]
+            told.extend(gap[right & np.isfinite(gap)])
+    return float(np.quantile(told, quantile, method="lower")) if len(told) * quantile >= LEAST_BELOW else PLAIN_BAND
+
+
 def train(docs: DataFrame, learn: F.Column, per_label: int = 400, most_labels: int = 200, dims: int = 4096, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
     """A model from rows where ``learn`` holds and text and label are there.
 
@@ -131,15 +155,19 @@ def train(docs: DataFrame, learn: F.Column, per_label: int = 400, most_labels: i
     labels, features = sample(kept, per_label, dims, "__label", learn)
     if len(set(labels)) > most_labels:
         raise ValueError(f"over {most_labels} labels")
-    return fit(labels, features, dims)
+    model = fit(labels, features, dims)
+    model.band = band(labels, features, dims)
+    return model
 
 
-def identify(docs: DataFrame, model: Model, unsure: float = 0.005, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, model: Model, unsure: float | None = None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred, score, ambiguous, one row a row of the input.
 
     ``und`` with score 0 for a text that is null or has no letter, or if nothing was learned.
-    ``ambiguous``: the second codeword is nearer than ``unsure`` (loss a bit) beyond the first.
+    ``ambiguous``: the second codeword is nearer than ``unsure`` (loss a bit; the model's band if not
+    given) beyond the first.
     """
+    unsure = model.band if unsure is None else unsure
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())])
 
     def run(batches):
@@ -170,8 +198,9 @@ def identify(docs: DataFrame, model: Model, unsure: float = 0.005, id_col: str =
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
-def keep_identified(docs: DataFrame, model: Model, unsure: float = 0.005, text_col: str = "text") -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, unsure: float | None = None, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose language is told: neither ``und`` nor ambiguous."""
+    unsure = model.band if unsure is None else unsure
 
     def run(batches):
         for batch in batches:

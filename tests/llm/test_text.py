@@ -102,6 +102,31 @@ def test_language(spark, folder, documents, odd, empty):
     assert kept.columns == odd.columns and 3 in {r.doc_id for r in kept.collect()} and kept.where("doc_id in (1, 2, 6, 7)").count() == 0
 
 
+def test_texts_between_languages_are_ambiguous(spark, documents):
+    rng, words = random.Random(3), {}
+    for _, text, lang in documents:
+        words.setdefault(lang, []).extend(text.split())
+    said = lambda lang, n: " ".join(rng.choices(words[lang], k=n))
+    learned = [(i, said(lang, rng.randrange(20, 80)), lang) for i, lang in enumerate(sorted(words) * 120)]
+    model = language.train(spark.createDataFrame(learned, "doc_id long, text string, lang string"), F.lit(True))
+    clean = [said(lang, rng.randrange(20, 80)) for lang in sorted(words) * 75]
+    mixed = [" ".join(said(lang, 30) for lang in rng.sample(sorted(words), 2)) for _ in range(200)]
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(rng.randrange(100, 500))) for _ in range(200)]
+    sizes = (len(clean), len(mixed), len(junk))
+    made = spark.createDataFrame(list(enumerate(clean + mixed + junk)), "doc_id long, text string")
+    flagged, kept = np.zeros(sum(sizes), bool), np.zeros(sum(sizes), bool)
+    flagged[[r.doc_id for r in language.identify(made, model).collect() if r.ambiguous]] = True
+    kept[[r.doc_id for r in language.keep_identified(made, model).collect()]] = True
+    assert (kept == ~flagged).all()
+    of_clean, of_mixed, of_junk = (x.mean() for x in np.split(flagged, np.cumsum(sizes)[:2]))
+    assert of_clean <= 0.05 and of_mixed >= 0.8 and of_junk >= 0.8, (of_clean, of_mixed, of_junk)
+
+
+def test_band_of_small_samples():
+    x = np.eye(8, 16, dtype=np.float32)
+    assert language.band([], x[:0], 16) == language.band(["a", "b", "b"], x[:3], 16) == language.band(["a"] * 8, x, 16) == language.PLAIN_BAND
+
+
 def test_codewords_stay_apart():
     for n in (2, 3, 4, 5, 9, 40):
         code = language.codewords(n).astype(int)
