@@ -24,13 +24,34 @@ def _run_start(inside: str) -> str:
     return rf"(?=[{inside}])(?:(?<![{inside}])|\G)"
 
 
+#: Account numbers: characters in all, by country; the second part is of countries that are not in the standard.
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST" + " AO CV GW MZ", 26: "IS TR" + " DZ IR", 27: "BI DJ FR GR IT MC MR SM" + " CF CG CM GA GQ KM MG TD",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV" + " BF BJ CI MA ML NE SN TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _account() -> str:
+    """The first four characters, and ahead of them, as group 1, the whole number in its country's length.
+
+    Only the four are taken, so a number that fails the checksum hides none that starts within it.
+    A code of no country takes the longest run of up to 34 characters.
+    """
+    more = r"(?:\x20?[A-Z0-9])"
+    known = "|".join(rf"(?:{'|'.join(codes.split())})[0-9]{{2}}{more}{{{n - 4}}}" for n, codes in LENGTHS.items())
+    other = rf"(?!{'|'.join(' '.join(LENGTHS.values()).split())})[A-Z]{{2}}[0-9]{{2}}{more}{{11,30}}"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=((?:{known}|{other})(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}"
+
+
 _LOCAL = "A-Za-z0-9._%+-"
 PATTERNS = {
     "email": _run_start(_LOCAL) + rf"[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": _run_start("0-9") + r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": _account(),
 }
 #: What a text must hold before the pattern is worth trying.
 HINTS = {"email": r"@[A-Za-z0-9-]++\.", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"(?:[0-9][\x20-]?){11}[0-9]", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}[\x20A-Z0-9]"}
@@ -40,6 +61,8 @@ CONTEXT = {
     "card": ("card", "visa", "credit", "payment"), "phone": ("phone", "tel", "call", "mobile", "fax"), "iban": ("iban", "account", "bank"),
 }
 CONTEXT_CHARS = 40
+#: No match takes less than two characters, so no more of them reach into ``CONTEXT_CHARS``.
+CONTEXT_MATCHES = CONTEXT_CHARS // 2
 #: Score of a confirmed span without and with a context word.
 SCORES = {"email": (0.9, 1.0), "ip": (0.7, 0.9), "card": (0.8, 1.0), "phone": (0.6, 0.9), "iban": (0.85, 1.0)}
 
@@ -103,25 +126,38 @@ SPAN = "array<struct<start: bigint, order: int, end: bigint, kind: string, score
 
 
 def spans_of(kind: str, text: Column) -> Column:
-    """All confirmed spans of one kind, leftmost and non-overlapping, in order."""
+    """All confirmed spans of one kind in order, leftmost and non-overlapping but for account numbers."""
     plain, near = SCORES[kind]
     close = rf"(?i)(?:{'|'.join(CONTEXT[kind])})"
+    group = 1 if kind == "iban" else 0
+
+    def taken(v: Column) -> Column:
+        return F.substring(v, 1, 4) if kind == "iban" else v
+
+    def before_match(gaps: Column, found: Column, i: Column, n: Column) -> Column:
+        """The last n, at most ``CONTEXT_CHARS``, characters before match i."""
+        tail = lambda g: F.substring(g, -CONTEXT_CHARS, CONTEXT_CHARS)
+        parts = F.transform(F.sequence(F.greatest(i - CONTEXT_MATCHES, F.lit(0)), i), lambda j: F.concat(tail(gaps[j]), F.when(j < i, taken(found[j])).otherwise("")))
+        return F.substring(F.array_join(parts, ""), -n, n)
 
     def place(gaps: Column, found: Column, before: Column) -> Column:
-        placed = F.transform(found, lambda v, i: F.struct((before[i] + F.length(gaps[i])).alias("start"), v.alias("v"), gaps[i].alias("gap")))
-        kept = F.filter(placed, lambda s: confirmed(kind, s["v"]))
-        return F.transform(
-            kept,
-            lambda s: F.struct(
+        placed = F.transform(found, lambda v, i: F.struct((before[i] + F.length(gaps[i])).alias("start"), v.alias("v"), i.alias("i")))
+
+        def scored(kept: Column, s: Column, k: Column) -> Column:
+            # back to the confirmed span before, whose context words are its own
+            back = s["start"] - F.when(k > 0, kept[k - 1]["start"] + F.length(kept[k - 1]["v"])).otherwise(0)
+            words = before_match(gaps, found, s["i"], F.greatest(F.least(back, F.lit(CONTEXT_CHARS)), F.lit(0)).cast("int"))
+            return F.struct(
                 s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("order"), (s["start"] + F.length(s["v"])).alias("end"),
-                F.lit(kind).alias("kind"), F.when(F.substring(s["gap"], -CONTEXT_CHARS, CONTEXT_CHARS).rlike(close), near).otherwise(plain).alias("score"),
-            ),
-        ).cast(SPAN)
+                F.lit(kind).alias("kind"), F.when(words.rlike(close), near).otherwise(plain).alias("score"),
+            )
+
+        return let(F.filter(placed, lambda s: confirmed(kind, s["v"])), lambda kept: F.transform(kept, lambda s, k: scored(kept, s, k)).cast(SPAN))
 
     def located(gaps: Column) -> Column:
         return let(
-            F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)),
-            lambda found: let(running_total(F.zip_with(gaps, found, lambda g, v: (F.length(g) + F.coalesce(F.length(v), F.lit(0))).cast("bigint"))), lambda before: place(gaps, found, before)),
+            F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(group)),
+            lambda found: let(running_total(F.zip_with(gaps, found, lambda g, v: (F.length(g) + F.coalesce(F.length(taken(v)), F.lit(0))).cast("bigint"))), lambda before: place(gaps, found, before)),
         )
 
     return F.when(text.rlike(HINTS[kind]), let(F.split(text, PATTERNS[kind], -1), located)).otherwise(F.array().cast(SPAN))
@@ -132,7 +168,7 @@ def with_spans(docs: DataFrame, least_score: float = 0.5, text_col: str = "text"
 
     Spans of the base kinds always stay; others stay at ``least_score`` or more. Places are code
     points, ends exclusive. A null or empty text has no span; rows stay as they are, repeated ones
-    too; spans of different kinds may overlap.
+    too; spans of different kinds may overlap, and account numbers where each passes its check.
     """
     text, held = F.coalesce(F.col(text_col), F.lit("")), [f"__{to}_{k}" for k in KINDS]
     found = docs.withColumns({c: spans_of(k, text) for c, k in zip(held, KINDS, strict=True)})

@@ -218,6 +218,27 @@ def test_scores_and_account_numbers(spark):
     assert shown[0].t == "bank account [IBAN], not DE89370400440532013001; call [PHONE] or [PHONE]" and shown[1].t is None
 
 
+def test_account_numbers_before_words(spark):
+    plain, grouped, spaced = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"
+    texts = {
+        1: (f"{plain} Kontoinhaber", [plain]), 2: (f"{grouped} BIC X", [grouped]), 3: (f"an {spaced} 2024 EUR", [spaced]),
+        4: (f"é🎉 {plain} {grouped} AND {spaced}", [plain, grouped, spaced]), 5: (f"{plain}X {plain[:-1]} x{plain}", []),
+        6: (f"MT84 {plain} ABCDE. ", [plain]), 7: (f"{plain} {plain}", [plain, plain]), 8: (f"DE89 3704 0044 0532 0130 01 {spaced}\nOK", [spaced]),
+    }
+    df = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    for r in pii.find(df).collect():
+        assert [r.text[s.start : s.end] for s in r.spans if s.kind == "iban"] == texts[r.doc_id][1], r.text
+    shown = pii.with_spans(df.where("doc_id = 1")).select(pii.redacted(F.col("text"), F.col("spans")).alias("t")).first()
+    assert shown.t == "[IBAN] Kontoinhaber"
+
+
+def test_context_reaches_over_unconfirmed_matches(spark):
+    far = "credit card " + "x" * 40
+    rows = [(1, "credit card (12/26): 4111111111111111"), (2, f"{far} 12/26: 4111111111111111"), (3, "credit card " + "1.2." * 8 + "/4111111111111111"), (4, "é card " + "12/" * 11 + "4111111111111111")]
+    got = {r.doc_id: [s.score for s in r.spans if s.kind == "card"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [1.0], 2: [0.8], 3: [1.0], 4: [1.0]}
+
+
 def slow_repeats(rows, length):
     texts = [(t or "").encode() for _, t in rows]
     seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
