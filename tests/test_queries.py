@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from specloom.plans import catalog
+from specloom.plans import catalog, evaluate
 
 FOLDER = os.environ.get("SPECLOOM_TEST_DATA", "/root/testdata/sf0.001")
 TABLES = (
@@ -54,3 +54,15 @@ def test_without_sql_runs(spark, name):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
+
+
+def test_evaluation_asks_for_every_repeat_and_permutation(spark, monkeypatch):
+    asked = {}
+
+    def noted(rows, *args, **kwargs):
+        asked.update(kwargs)
+        return rows.selectExpr("0D AS value")
+
+    monkeypatch.setattr(evaluate, "evaluate", noted)
+    QUERIES["evaluate_representations"](spark, FOLDER)
+    assert (asked["repeats"], asked["permutations"]) == (5, 10)
