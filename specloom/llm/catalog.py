@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, chat, forest, language, packing, pieces, pii, repeats, simhash, sketches
+from . import bitplanes, chat, divergence, forest, language, ledger, negatives, packing, pieces, pii, repeats, simhash, sketches
 from .common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,25 @@ def op9_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(repeats.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+@query
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+SQL["op11_negatives"] = negatives.SQL
+
+
+@query
+def op12_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.digest(ledger.scan(table(spark, sf_dir, "documents"), ledger.fresh_ledger(spark)))
+
+
+@query
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_divergence"] = divergence.SQL

@@ -29,17 +29,22 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; what is written there goes with the session."""
+    path = f"{shared_folder(spark)}/specloom-{tag}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write a table into the shared folder once and go on from its files.
 
     The files outlive lost executors, so nothing before them runs again. They go with the session.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/specloom-{tag}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
