@@ -122,11 +122,17 @@ def compare(top: int, chunk: int = 512):
                 yield from zip(*columns, strict=True)
 
         for (lang, _, a, b), shard in groupby(entries(), key=lambda r: r[:4]):
-            names, block, totals, sums, best, v, whole = [], [], [], None, {}, 0, 0
+            names, block, totals, sums, best, v, whole, absent = [], [], [], None, {}, 0, 0, 0
             place: dict[str, int] = {}
             terms: list[tuple[str, int]] = []
             cells: list[tuple[int, int, int]] = []
 
+            def add(p: np.ndarray, times: int = 1):
+                for i in range(len(names) - 1):
+                    others = range(i + 1, len(names)) if a == b else [j for j in range(i + 1, len(names)) if block[i] != block[j]]
+                    if len(others):
+                        sums[i, others] += times * apart(p[others], p[i]).sum(1)
+
             def settle():
                 """Adds the terms held to the sums and to the best terms of each source."""
                 n = np.zeros((len(names), len(terms)), np.int64)
@@ -135,10 +141,7 @@ def compare(top: int, chunk: int = 512):
                     n[s, t] = c
                 total = np.array(totals)[:, None] + 2 * v
                 p = 1 + share(n + 2, total)
-                for i in range(len(names) - 1):
-                    others = range(i + 1, len(names)) if a == b else [j for j in range(i + 1, len(names)) if block[i] != block[j]]
-                    if len(others):
-                        sums[i, others] += apart(p[others], p[i]).sum(1)
+                add(p)
                 if a == b:
                     q = 1 + share(np.array([m for _, m in terms]) + 2, whole + 2 * v)
                     for i in range(len(names)):
@@ -155,7 +158,7 @@ def compare(top: int, chunk: int = 512):
                     names.append(source)
                     block.append(of)
                     totals.append(total)
-                    v, whole = v_, whole_
+                    v, whole, absent = v_, whole_, n
                     continue
                 if sums is None:
                     sums = np.zeros((len(names), len(names)), np.int64)
@@ -163,11 +166,14 @@ def compare(top: int, chunk: int = 512):
                     if len(terms) == chunk:
                         settle()
                     terms.append((term, m))
+                    absent -= 1
                 cells.append((place[source], len(terms) - 1, n))
             if sums is None:
                 sums = np.zeros((len(names), len(names)), np.int64)
             if terms:
                 settle()
+            if absent:  # terms that only sources of other blocks use
+                add(1 + share(np.full((len(names), 1), 2), np.array(totals)[:, None] + 2 * v), absent)
             for i in range(len(names)):
                 for j in range(i + 1, len(names)):
                     if a == b or block[i] != block[j]:
@@ -221,8 +227,11 @@ def audit(docs: DataFrame, least_docs: int = 10, top: int = 10, block: int = 256
         )
 
     none = F.lit(None)
-    heads = groups.withColumns({"shard": F.explode(F.sequence(F.lit(0), F.col("shards") - 1)), "term": none.cast("string"), "n": none.cast("long"), "m": none.cast("long")})
     shard = F.pmod(F.xxhash64("term"), F.col("shards")).cast("int")
+    # a group's row in each shard says how many terms the shard has
+    widths = rows.select("lang", "term").distinct().join(groups.groupBy("lang").agg(F.max("shards").alias("shards")), "lang").groupBy("lang", shard.alias("shard")).agg(F.count("*").alias("n"))
+    heads = groups.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).join(widths, ["lang", "shard"], "left")
+    heads = heads.withColumns({"n": F.coalesce("n", F.lit(0)), "term": none.cast("string"), "m": none.cast("long")})
     body = rows.join(groups, ["lang", "source"]).withColumn("shard", shard).withColumns({c: none.cast("long") for c in ("total", "v", "lang_total")})
     cells = dealt(heads).unionByName(dealt(body)).repartition("lang", "shard", "a", "b").sortWithinPartitions("lang", "shard", "a", "b", F.asc_nulls_first("term"), "source")
     found = staged(cells.mapInArrow(compare(top), FOUND_SQL), "divergence-parts")
