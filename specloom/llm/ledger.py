@@ -139,7 +139,8 @@ def scan(docs: DataFrame, ledger: Ledger, rules: Sequence[Rule] = RULES, id_col:
     seen = seen.groupBy("blob").agg(F.collect_set("rule").alias("seen"))  # at most one entry a rule
     blobs = paths.groupBy("blob").agg(F.min(one).alias("one")).join(seen, "blob", "left")
     due = F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))
-    unseen = blobs.select("blob", "one", due.alias("due")).where(F.size("due") > 0)
+    # tables, so that joins can split a blob that many rows share
+    unseen = staged(blobs.select("blob", "one", due.alias("due")).where(F.size("due") > 0), "unseen-blobs")
     # the text comes from one document of each unseen blob; copies under other ids never meet
     work = addressed(docs, id_col, text_col).withColumn("one", one).join(unseen, ["blob", "one"]).select("blob", "due", "text")
     ledger.append(work.mapInArrow(reader(rules), f"blob binary, rules array<string>, found {FINDINGS}"))
@@ -147,8 +148,9 @@ def scan(docs: DataFrame, ledger: Ledger, rules: Sequence[Rule] = RULES, id_col:
     names, order = (F.create_map(*(F.lit(x) for i, r in enumerate(rules) for x in (r.key, (r.name, i)[w]))) for w in (0, 1))
     current = F.filter("found", lambda s: F.array_contains(every, s["rule"]))
     placed = F.transform(current, lambda s: F.struct(s["start"].alias("start"), order[s["rule"]].alias("order"), s["end"].alias("end"), names[s["rule"]].alias("kind")))
-    found = ledger.read().groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(placed)))).alias("spans"))  # an entry a batch that read the blob
-    return paths.join(found, "blob", "left").select("doc_id", "blob", "spans")
+    entries = ledger.read().join(paths.select("blob").distinct(), "blob", "left_semi")
+    found = entries.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(placed)))).alias("spans"))  # an entry a batch that read the blob
+    return paths.join(staged(found, "findings"), "blob", "left").select("doc_id", "blob", "spans")
 
 
 def told(spans: Column) -> Column:
