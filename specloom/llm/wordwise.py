@@ -2,8 +2,9 @@
 
 A text is cut at single spaces, where neither vocabulary's pieces ever join two sides, and each
 distinct stretch is encoded once per worker. A stretch of plain characters is cut by the
-vocabulary's own word pattern and its words go straight to the library's merge model; every other
-stretch goes through the library's whole encoder. The ids are those of encoding the text at once.
+vocabulary's own word pattern; a single word goes straight to the library's merge model, and several
+are looked up as stretches of their own, so one table holds both. Every other stretch goes through
+the library's whole encoder. The ids are those of encoding the text at once.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from tokenizers import Tokenizer
 PLAIN = r"!-~\nÀ-ÖØ-öø-ÿ"  # printable ASCII, line feeds and Latin-1 letters
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 TWO_SPACES = re.compile(r"\s\s")
-MOST = 300_000  # entries of each of a table's two generations
+MOST = 300_000  # entries of each of the table's two generations
 
 
 def byte_letters() -> list[str]:
@@ -60,7 +61,7 @@ class WordTokenizer:
             self.cut = re.compile(f"{marks}| ?[{LETTER}]+| ?[0-9]+| ?[^\\s{LETTER}0-9]+|\\s+(?!\\S)|\\s+").findall
         self.shown = dict(enumerate(byte_letters()))
         self.bytes_of = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
-        self.words, self.stretches = Known(self.word), Known(self.stretch)
+        self.stretches = Known(self.stretch)
 
     def word(self, word: str) -> bytes:
         shown = word.encode().decode("latin-1").translate(self.shown)
@@ -72,7 +73,10 @@ class WordTokenizer:
     def stretch(self, text: str) -> bytes:
         if "<|" in text or not self.plain(text):
             return self.by_library(text)
-        return b"".join(map(self.words.__getitem__, self.cut(text.lower() if self.lower else text)))
+        words = self.cut(text.lower() if self.lower else text)
+        if words == [text]:
+            return self.word(text)
+        return b"".join(map(self.stretches.__getitem__, words))
 
     def encode(self, text: str) -> bytes:
         parts = text.split(" ")
