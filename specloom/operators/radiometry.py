@@ -178,21 +178,21 @@ def white_correct(cube: DataFrame, white: DataFrame, row: str, vector: str, name
 NEIGHBOURS = [(dr, db) for dr in (-1, 0, 1) for db in (-1, 0, 1) if dr or db]
 
 
-def fill_sources(validity: DataFrame, row: str, least: int = FILL_NEIGHBOURS) -> DataFrame:
+def fill_sources(validity: DataFrame, row: str, least: int = FILL_NEIGHBOURS, keys: Sequence[str] = ()) -> DataFrame:
     """(row, band, src_row, src_band) for every invalid kept cell with enough valid neighbours.
 
     The eight offsets are exploded and equi-joined, so no range join is planned, and
-    only original valid cells serve as sources.
+    only original valid cells serve as sources.  Sets of cells told apart by ``keys`` never meet.
     """
     offsets = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("db")) for a, b in NEIGHBOURS])
-    bad = validity.where(~F.col("valid") & F.col("band_kept")).select(row, "band", F.inline(offsets))
+    bad = validity.where(~F.col("valid") & F.col("band_kept")).select(*keys, row, "band", F.inline(offsets))
     want = bad.select(
-        row, "band", (F.col(row) + F.col("dr")).alias("src_row"), (F.col("band") + F.col("db")).alias("src_band")
+        *keys, row, "band", (F.col(row) + F.col("dr")).alias("src_row"), (F.col("band") + F.col("db")).alias("src_band")
     )
-    good = validity.where("valid").select(F.col(row).alias("src_row"), F.col("band").alias("src_band"))
-    near = want.join(good, ["src_row", "src_band"])
-    enough = near.groupBy(row, "band").agg(F.count(F.lit(1)).alias("__k")).where(F.col("__k") >= least)
-    return near.join(enough.select(row, "band"), [row, "band"])
+    good = validity.where("valid").select(*keys, F.col(row).alias("src_row"), F.col("band").alias("src_band"))
+    near = want.join(good, [*keys, "src_row", "src_band"])
+    enough = near.groupBy(*keys, row, "band").agg(F.count(F.lit(1)).alias("__k")).where(F.col("__k") >= least)
+    return near.join(enough.select(*keys, row, "band"), [*keys, row, "band"])
 
 
 def fill_bad_cells(cube: DataFrame, sources: DataFrame, row: str, line: str, vector: str) -> DataFrame:
@@ -384,6 +384,61 @@ def axis_weights(spark, n: int, factor: float) -> DataFrame:
     ).where("w > 0").groupBy("src", "out").agg(F.sum("w").alias("w")).select("src", "out", "w")
 
 
+def axis_weights_by(dims: DataFrame, key: str, n: str = "n", factor: str = "factor") -> DataFrame:
+    """(key, src, out, w) like ``axis_weights``, for every key's own length and factor.
+
+    An output position reaches a handful of sources, so the table has a few rows a position.
+    """
+    size, f = F.col(n), F.col(factor)
+    outs = dims.select(key, n, factor, F.greatest(F.bround(size * f), F.lit(1)).cast("long").alias("new"))
+    outs = outs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("new") - 1)).alias("out"))
+    outs = outs.withColumn("step", size / F.col("new"))
+    lo, hi = F.col("out") * F.col("step"), (F.col("out") + 1) * F.col("step")
+    pair = lambda s, w: F.struct(s.cast("long").alias("src"), w.cast("double").alias("w"))
+    shrink = F.transform(
+        F.sequence(F.floor(lo), F.least(F.ceil(hi) - 1, size.cast("long") - 1)),
+        lambda s: pair(s, F.least(hi, s.cast("double") + 1) - F.greatest(lo, s.cast("double"))),
+    )
+    at = F.greatest(F.lit(0.0), F.least(size - F.lit(1.0), (F.col("out") + 0.5) * F.col("step") - 0.5))
+    left = F.floor(at)
+    grow = F.array(pair(left, 1 - (at - left)), pair(F.least(left + 1, size.cast("long") - 1), at - left))
+    same = F.array(pair(F.col("out"), F.lit(1.0)))
+    weights = F.when(F.col("new") == size, same).when(f < 1, shrink).otherwise(grow)
+    got = outs.select(key, "out", F.inline(F.filter(weights, lambda p: p["w"] > 1e-9)))
+    return got.groupBy(key, "src", "out").agg(F.sum("w").alias("w"))
+
+
+def resample_axis_by(
+    cube: DataFrame, axis: str, key: str, keys: Sequence[str], means: Sequence[str], sets: Sequence[str], size: int, weights: DataFrame
+) -> DataFrame:
+    """Resample one axis by the weights of each key, all array columns in one pass.
+
+    Arrays in ``means`` become weighted means (NaN in a source makes the output NaN), boolean arrays
+    in ``sets`` are set where any source is.  ``keys`` are the other columns that stay.
+    """
+    spread = cube.join(weights.withColumnRenamed("src", axis), [key, axis])
+    at = lambda c, i: F.get(F.col(c), F.lit(i))
+    mean = lambda c: F.array(*[F.sum(at(c, i).cast("double") * F.col("w")) / F.sum("w") for i in range(size)])
+    any_set = lambda c: F.array(*[F.bool_or(at(c, i)) for i in range(size)])
+    out = spread.groupBy(key, *keys, F.col("out").alias("__out")).agg(*[mean(c).alias(c) for c in means], *[any_set(c).alias(c) for c in sets])
+    return out.withColumnRenamed("__out", axis)
+
+
+def resample_two_axes(
+    cube: DataFrame, dims: DataFrame, key: str, keys: Sequence[str], means: Sequence[str], sets: Sequence[str], size: int,
+    axes: Sequence[str] = ("line", "row"),
+) -> DataFrame:
+    """One axis after the other, each growing or shrinking by its own factor.
+
+    ``dims`` holds, per key, ``n_<axis>`` and ``f_<axis>``.  The weights are separable and sparse, so a
+    group is one output position of one axis and never an image.
+    """
+    for axis, other in (axes, reversed(axes)):
+        sized = dims.select(key, F.col(f"n_{axis}").alias("n"), F.col(f"f_{axis}").alias("factor"))
+        cube = resample_axis_by(cube, axis, key, [other, *keys], means, sets, size, axis_weights_by(sized, key))
+    return cube
+
+
 def resample_axis(
     cube: DataFrame, axis: str, keys: Sequence[str], vector: str, size: int, weights: DataFrame
 ) -> DataFrame:
