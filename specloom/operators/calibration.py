@@ -56,19 +56,20 @@ def transmittance_bundle(
 
     Exposures come from the folder names unless given.  k = t_short / t_long.  ``exposures_differ``
     says that the white's dark was taken at another exposure than the white.  ``set`` names the three
-    captures; ``problem`` is NULL where the day can be corrected.
+    captures; ``problem`` is NULL where the day can be corrected, and without k where it is not.
     """
     one = _per_day(resolve(catalog, days, TRANSMITTANCE_KINDS), TRANSMITTANCE_KINDS)
     given = lambda us, folder: F.lit(float(us)) if us is not None else exposure_us(last_name(folder)).cast("double")
     one = one.withColumn("t_long", given(sample_us, "dark_sample")).withColumn("t_short", given(white_us, "white"))
     dark_us = exposure_us(last_name("dark_white")).cast("double")
     unreadable = F.when(F.col("t_long").isNull(), "no exposure in dark_sample").when(F.col("t_short").isNull(), "no exposure in white")
+    one = one.withColumn("problem", F.coalesce(_inputs_problem(), unreadable))
+    sound = lambda c: F.when(F.col("problem").isNull(), c)
     return one.select(
         "day", *TRANSMITTANCE_KINDS, *[f"{k}_scope" for k in TRANSMITTANCE_KINDS], "t_long", "t_short",
-        F.try_divide("t_short", "t_long").alias("k"),
-        F.coalesce(F.abs(dark_us - F.col("t_short")) > 1e-6, F.lit(False)).alias("exposures_differ"),
-        F.concat_ws("|", *TRANSMITTANCE_KINDS).alias("set"),
-        F.coalesce(_inputs_problem(), unreadable).alias("problem"),
+        sound(F.try_divide("t_short", "t_long")).alias("k"),
+        sound(F.coalesce(F.abs(dark_us - F.col("t_short")) > 1e-6, F.lit(False))).alias("exposures_differ"),
+        F.concat_ws("|", *TRANSMITTANCE_KINDS).alias("set"), "problem",
     )
 
 
@@ -77,8 +78,18 @@ def reflectance_bundle(catalog: DataFrame, days: DataFrame) -> DataFrame:
     return one.select("day", "dark", "dark_scope", _inputs_problem().alias("problem"))
 
 
+def median_frames(lines: DataFrame, row: str, vector: str) -> DataFrame:
+    """(folder, row, frame[]): medians over the lines that are not blank, all captures at once.
+
+    Counts of a sensor cell take at most as many values as the sensor has levels, which bounds what
+    the built-in exact percentile holds for a cell.
+    """
+    cells = R.long_bands(lines.where(~R.is_blank(vector)), vector, "folder", row)
+    return R.to_frame(cells.groupBy("folder", row, "band").agg(F.percentile("x", 0.5).alias("m")), ["folder", row], "m", "frame")
+
+
 def reference_cells(
-    lines: DataFrame, bundle: DataFrame, row: str, vector: str, size: int,
+    lines: DataFrame, bundle: DataFrame, row: str, vector: str,
     keep_share: float = R.BAND_KEEP_SHARE, hot_factor: float = R.HOT_FACTOR,
 ) -> DataFrame:
     """(set, row, band, dark, w, hot, cell_valid, valid, band_level, band_kept) of every usable set.
@@ -88,7 +99,7 @@ def reference_cells(
     >= 100 counts, >= 0.15 of its band's typical row, and not hot; a band is kept at ``keep_share`` of
     the set's brightest band.  All medians run over the sensor cells of one set, a bounded number.
     """
-    frames = R.reference_frame(lines, ["folder", row], vector, size, "median", "frame")
+    frames = median_frames(lines, row, vector)
     sets = bundle.where("problem IS NULL").select("set", *TRANSMITTANCE_KINDS).distinct()
     of = lambda kind, name: frames.select(F.col("folder").alias(kind), row, F.col("frame").alias(name))
     three = sets.join(of("dark_sample", "d"), "dark_sample").join(of("dark_white", "s"), ["dark_white", row]).join(of("white", "w"), ["white", row])

@@ -59,7 +59,7 @@ def open_beam_by_capture(lit: DataFrame, rows: DataFrame, full_scale: float, min
     clip = long.groupBy("capture", "set", "band").agg(F.avg((F.col("c") >= full_scale).cast("double")).alias("clip"))
     usable = clip.join(rows, ["set", "band"]).where((F.col("clip") <= R.OPEN_BEAM_MAX_CLIP) & (F.col("valid_rows") >= min_rows)).select("capture", "band")
     cand = long.where("ok").join(usable, ["capture", "band"])
-    bright = exact_percentiles(cand, ["capture", "band"], "c", {"cut": R.OPEN_BEAM_PCT}).drop("n")
+    bright = cand.groupBy("capture", "band").agg(F.percentile("c", R.OPEN_BEAM_PCT).alias("cut"))  # whole counts: as many values as levels
     per_band = exact_percentiles(cand.join(bright, ["capture", "band"]).where("c >= cut"), ["capture", "band"], "u", {"m": 0.5}).drop("n")
     lo, hi = R.OPEN_BEAM_RANGE
     got = per_band.groupBy("capture").agg(F.count(F.lit(1)).alias("open_beam_bands"), F.percentile("m", 0.5).alias("open_beam"))  # a row a band
@@ -157,7 +157,8 @@ def tape_levels(darksub: DataFrame, tape: DataFrame, pct: float, coverage: float
     none = rows.groupBy("capture").agg((~F.bool_or("enough")).alias("none"))
     rows = rows.join(none, "capture").select("capture", "row", (F.col("enough") | F.col("none")).alias("trusted"))
     on_tape = darksub.join(tape, ["capture", "row", "line"], "left_semi").join(rows.where("trusted"), ["capture", "row"], "left_semi")
-    known = exact_percentiles(R.long_bands(on_tape, "c", "capture", "row"), ["capture", "row", "band"], "x", {"white": pct}).drop("n")
+    # whole counts: a cell has at most as many values as the sensor has levels
+    known = R.long_bands(on_tape, "c", "capture", "row").groupBy("capture", "row", "band").agg(F.percentile("x", pct).alias("white"))
     return known, rows
 
 

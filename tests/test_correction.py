@@ -61,7 +61,7 @@ def test_transmittance_plan(spark, scene):
     lines = spark.createDataFrame([row for k, a in cal.items() for row in lines_of(k, a)], "folder string, row int, line int, c array<double>")
     cube = spark.createDataFrame([row for k in "abc" for row in lines_of(k, raw)], "capture string, row int, line int, c array<double>")
     bundle = C.transmittance_bundle(catalog, captures)
-    cells = C.reference_cells(lines, bundle, "row", "c", 8)
+    cells = C.reference_cells(lines, bundle, "row", "c")
     done = P.correct_transmittance(cube, captures, bundle, cells, 8, min_rows=2)
 
     med = {k: np.median(np.where((a == 0).all(2)[..., None], np.nan, a)[:, : 8 if k == "white/2k" else 9], axis=1) for k, a in cal.items()}
