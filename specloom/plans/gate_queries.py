@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import folds, gate, masks, patches, sampling
+from ..operators.radiometry import percentile_stretch
 from .mask_queries import COMPONENTS, RUNS, text_masks
 from .registry import query, r6
 from .view_queries import LATIN, SEED, hexkey, latin
@@ -178,17 +179,18 @@ def flip_augment(t):
 @query(
     "mask_mean_spectrum",
     """WITH p AS (SELECT label, embedding[1] > 0 AS inside, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) - 1 AS b FROM embeddings)
-SELECT label, CAST(b AS INTEGER) AS band, round(avg(x), 6) + 0.0 AS x FROM p WHERE inside AND x <= 0.15 GROUP BY 1, 2""",
+SELECT label, CAST(b AS INTEGER) AS band, round(avg(x) FILTER (x <= 0.15), 6) + 0.0 AS x FROM p WHERE inside GROUP BY 1, 2""",
 )
 def mask_mean_spectrum(t):
-    """Values above 0.15 play invalid voxels."""
+    """Values above 0.15 play invalid voxels; a band without any other stays, without a value."""
     holes = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(x > 0.15, float("nan")).otherwise(x))
     p = t.embeddings.select("label", (F.col("embedding")[0] > 0).alias("inside"), holes.alias("v"))
     out = patches.mask_mean_spectrum(p, ["label"], "v", 64)
-    return out.select("label", F.posexplode("spectrum").alias("band", "x")).where(~F.isnan("x")).select("label", "band", r6("x").alias("x"))
+    return out.select("label", F.posexplode("spectrum").alias("band", "x")).select("label", "band", F.when(~F.isnan("x"), r6("x")).alias("x"))
 
 
-GRAY = "g AS (SELECT lang, source, CAST(least(255, n_chars // 20) AS INTEGER) AS gray FROM documents)"
+GRAY = """cuts AS (SELECT lang, quantile_cont(n_chars, 0.01) AS lo, quantile_cont(n_chars, 0.99) AS hi FROM documents GROUP BY lang),
+g AS (SELECT lang, source, CAST(floor(greatest(0.0, least(1.0, (n_chars - lo) / greatest(hi - lo, 1e-9))) * 255) AS INTEGER) AS gray FROM documents JOIN cuts USING (lang))"""
 
 
 @query(
@@ -201,9 +203,8 @@ c AS (SELECT lang, gray AS cut, row_number() OVER (PARTITION BY lang ORDER BY ro
 SELECT g.lang, source, round(avg((gray > cut)::INT::DOUBLE), 6) AS occupancy FROM g JOIN c ON c.lang = g.lang AND c.k = 1 GROUP BY 1, 2""",
 )
 def otsu_occupancy(t):
-    px = t.documents.select(
-        "lang", "source", F.least(F.lit(255), F.floor(F.col("n_chars") / 20)).cast("int").alias("gray"),
-        F.lit("reflectance").alias("mode"), F.lit(0.0).alias("clip"),
-    )
+    """Lengths as gray levels between two percentiles of their language, so that long texts do not meet in one level."""
+    gray = percentile_stretch(t.documents.select("lang", "source", "n_chars"), "n_chars", ["lang"])
+    px = gray.select("lang", "source", "gray", F.lit("reflectance").alias("mode"), F.lit(0.0).alias("clip"))
     out = patches.occupancy(px, ["lang"], "source", "gray", "clip", "mode")
     return out.select("lang", "source", r6("occupancy").alias("occupancy"))

@@ -129,11 +129,12 @@ def corrected(t, cells=None):
 
 @query(
     "transmittance",
-    f"WITH {TRANS} SELECT row, line, CAST(band AS INTEGER) AS band, round(t, 6) + 0.0 AS x FROM trans WHERE NOT isnan(t)",
+    f"WITH {TRANS} SELECT row, line, CAST(band AS INTEGER) AS band, CASE WHEN NOT isnan(t) THEN round(t, 6) + 0.0 END AS x FROM trans",
 )
 def transmittance(t):
-    out = R.long_bands(corrected(t), "t", "row", "line").where(~F.isnan("x"))
-    return rounded(out, "x")
+    """Every cell; invalid ones stay, without a value."""
+    out = R.long_bands(corrected(t), "t", "row", "line")
+    return out.select("row", "line", "band", F.when(~F.isnan("x"), r6("x")).alias("x"))
 
 
 @query(
