@@ -87,3 +87,15 @@ def test_pipeline_takes_odd_rows(spark, odd, empty, folder, tmp_path):
         for _, stage in corpus_pipeline.STAGES[1:]:
             docs = stage(spark, docs, folder)
         assert docs.count() >= (len({t for _, t in ODD}) - 4 if name == "odd" else 0)
+
+
+def test_first_stage_takes_odd_and_empty_tables(spark, odd, empty, folder):
+    columns = ("doc_id", "text", "lang")
+    told = odd.select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("de").alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("label"))
+    kept = corpus_pipeline.STAGES[0][1](spark, told, folder)
+    assert kept.columns == told.columns
+    left = {r.doc_id for r in kept.collect()}
+    assert left <= {i for i, _ in ODD} and not left & {1, 2, 6, 7}  # null, empty, blank, no letters
+    unlabelled = odd.select(*columns)
+    assert corpus_pipeline.STAGES[0][1](spark, unlabelled, folder).count() == 0  # nothing learned, so no language is told
+    assert corpus_pipeline.STAGES[0][1](spark, empty.select(*columns), folder).count() == 0
