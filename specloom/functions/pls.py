@@ -28,7 +28,7 @@ def pls_path(gram: np.ndarray, p: int, grid: list[int]) -> dict[int, tuple[np.nd
     for a in range(1, max(grid) + 1):
         if not np.isfinite(left).all() or np.abs(left).max() <= 1e-12 * scale:
             break
-        w = np.linalg.svd(left, full_matrices=False)[0][:, 0]
+        w = left[:, 0] / np.linalg.norm(left) if k == 1 else np.linalg.svd(left, full_matrices=False)[0][:, 0]
         r = w - rot @ (load.T @ w)
         energy = float(r @ sxx @ r)
         if energy <= 1e-12 * scale:

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from .ordered import position
 
 
-def seeded_key(column: str | Column, seed: int) -> Column:
+def seeded_key(column: str | Column, seed: int | Column) -> Column:
     """A reproducible 60-bit shuffle key: leading hex digits of md5(seed || id)."""
     c = F.col(column) if isinstance(column, str) else column
-    text = F.concat(F.lit(f"{seed}|"), c.cast("string"))
+    start = F.lit(f"{seed}|") if isinstance(seed, int) else F.concat(seed.cast("string"), F.lit("|"))
+    text = F.concat(start, c.cast("string"))
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 

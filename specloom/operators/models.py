@@ -9,7 +9,6 @@ table of at most folds x component counts x bands entries.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,6 +20,7 @@ from ..functions.spectral import dot
 from ..session import settle
 from . import metrics as M
 from .folds import seeded_key
+from .nested import nested_runs
 from .ordered import position
 
 # Component grids, inner folds, permutation repeats and the feature sets by name.
@@ -112,17 +112,6 @@ def other_folds(folds: DataFrame, group: str) -> DataFrame:
     )
 
 
-def latin_inner_folds(groups: DataFrame, keys: Sequence[str], stratum: str, group: str, n: int, seed: int) -> DataFrame:
-    """Latin-square folds of a bounded group table, separately per ``keys``."""
-    keyed = groups.withColumn("__key", seeded_key(group, seed))
-    ranked = position(keyed, [*keys, stratum], "rate", "__key", "__pos")
-    strata = groups.select(*keys, stratum).distinct().withColumn("__skey", seeded_key(stratum, seed))
-    offs = position(strata, list(keys), "__skey", "__skey", "__off").select(*keys, stratum, "__off")
-    return ranked.join(offs, [*keys, stratum]).select(
-        *keys, group, ((F.col("__pos") + F.col("__off")) % n).cast("int").alias("inner")
-    )
-
-
 def label_sets(df: DataFrame, ident: str, group: str, label: str, repeats: int, seed: int) -> DataFrame:
     """Adds ``ys``: the true 0/1 label followed by ``repeats`` permuted ones.
 
@@ -162,78 +151,19 @@ def nested_cv(
 
     ``rows`` carries ``ys`` (one 0/1 label per label set) and one vector column per
     entry of ``vectors`` = {name: (column, length)}; ``folds`` maps group to outer fold.
-    Inside every outer training set the representation and the component count are
-    chosen by inner AUC (ties: fewer components) and the cut by balanced accuracy on
-    the winner's inner scores, all on held-out inner groups.
+    See ``nested.nested_runs``, of which this is one repeat with every label set.
     """
-    per_set = F.posexplode("ys").alias("set", "y")
-    rate = rows.select(group, stratum, per_set).groupBy("set", group, stratum).agg(F.avg("y").alias("rate"))
-    every = rate.join(other_folds(folds, group), group)
-    inner = settle(latin_inner_folds(every, ["set", "outer"], stratum, group, n_inner, seed))
-    # Task inner = -1 is the refit on the whole outer training set.
-    holds = inner.select("set", "outer", group, F.col("inner").alias("held"))
-    train = holds.select(
-        "set", "outer", group,
-        F.explode(F.filter(F.sequence(F.lit(-1), F.lit(n_inner - 1)), lambda i: i != F.col("held"))).alias("inner"),
+    parts, start = {}, 0
+    for name, (_, p) in vectors.items():
+        parts[name] = [(start, start + p)]
+        start += p
+    wide = rows.select(ident, group, stratum, "ys", F.concat(*[F.col(c).cast("array<double>") for c, _ in vectors.values()]).alias("x"))
+    n_folds = (folds.agg(F.max("fold")).first()[0] or 0) + 1
+    oof, choices = nested_runs(
+        wide, ident, group, stratum, parts, folds.select(F.lit(0).alias("repeat"), group, "fold"),
+        [(0, s) for s in range(n_sets)], n_folds, n_inner, grid, seed,
     )
-    test_inner = holds.select("set", "outer", group, F.col("held").alias("inner"))
-    tested = folds.select(group, F.col("fold").alias("outer")).join(rate.select("set", group).distinct(), group)
-    test = test_inner.unionByName(tested.select("set", "outer", group, F.lit(-1).alias("inner")))
-
-    def scores(plan: DataFrame, column: str) -> DataFrame:
-        """One score a unit and model of the plan (set, outer, inner, models), by the unit's group."""
-        per_group = plan.groupBy(group).agg(F.collect_list(F.struct("set", "outer", "inner", "models")).alias("__tasks"))
-        hit = rows.select(ident, group, "ys", F.col(column).cast("array<double>").alias("__x")).join(per_group, group)
-        each = hit.select(ident, group, "ys", "__x", F.inline("__tasks")).select(
-            ident, group, "ys", "__x", "set", "outer", "inner", F.inline("models")
-        )
-        return each.select(
-            ident, group, "set", "outer", "inner", "n", F.get("ys", F.col("set")).alias("y"),
-            (dot(F.col("__x"), F.col("w")) + F.col("w0")).alias("score"),
-        )
-
-    fitted, counts = {}, []
-    for number, (name, (column, p)) in enumerate(vectors.items()):
-        # Two-class one-hot y: the discriminant is score(1) - score(0).
-        y2 = F.flatten(F.transform("ys", lambda v: F.array(1 - v, v)))
-        grams = settle(group_grams(rows.withColumn("__y2", y2), group, column, "__y2", p, 2 * n_sets))
-        sums = _sum_grams(grams, train, group, ["set", "outer", "inner"], p + 2 * n_sets + 1)
-        sums = sums.withColumn("cols", F.array(F.col("set") * 2, F.col("set") * 2 + 1))
-        fits = fit_paths(sums, ["set", "outer", "inner"], p, grid, "cols")
-        fitted[name] = settle(fits.select(
-            "set", "outer", "inner", "n",
-            F.zip_with(F.get("b", F.lit(1)), F.get("b", F.lit(0)), lambda a, b: a - b).alias("w"),
-            (F.get("b0", F.lit(1)) - F.get("b0", F.lit(0))).alias("w0"),
-        ))
-        models = fitted[name].where("inner >= 0").groupBy("set", "outer", "inner").agg(F.collect_list(F.struct("n", "w", "w0")).alias("models"))
-        held = scores(test_inner.join(models, ["set", "outer", "inner"]), column).withColumn("rep", F.lit(number))
-        counts.append(M.score_counts(held, ["set", "outer", "rep", "n"], "y", "score"))
-    table = M.counted_auc(reduce(DataFrame.unionByName, counts), ["set", "outer", "rep", "n"])
-    table = table.where("auc IS NOT NULL AND n_pos + n_neg >= 10")
-    # Ties: fewer components, then the representation named first.
-    pick = F.min(F.struct((-F.col("auc")).alias("loss"), "n", "rep")).alias("b")
-    best = table.groupBy("set", "outer").agg(pick).select("set", "outer", "b.rep", "b.n", (-F.col("b.loss")).alias("inner_auc"))
-    folds_run = tested.select("set", "outer").distinct().join(best, ["set", "outer"], "left")
-    chosen = settle(folds_run.select(
-        "set", "outer", F.coalesce("rep", F.lit(0)).alias("rep"), F.coalesce("n", F.lit(min(grid))).alias("n"), "inner_auc"
-    ))
-    won = []
-    for number, (name, (column, _)) in enumerate(vectors.items()):
-        models = fitted[name].join(F.broadcast(chosen.where(F.col("rep") == number).select("set", "outer", "n")), ["set", "outer", "n"])
-        models = models.select("set", "outer", "inner", F.array(F.struct("n", "w", "w0")).alias("models"))
-        won.append(scores(test.join(models, ["set", "outer", "inner"]), column).withColumn("rep", F.lit(name)))
-    oof = settle(reduce(DataFrame.unionByName, won))
-    cuts = M.best_threshold(oof.where("inner >= 0"), "y", "score", ["set", "outer"]).select("set", "outer", "threshold")
-    names = F.array(*[F.lit(v) for v in vectors])
-    choices = settle(chosen.join(cuts, ["set", "outer"], "left").select(
-        "set", "outer", F.get(names, "rep").alias("rep"), "n", "inner_auc",
-        F.when(F.col("inner_auc").isNull(), 0.5).otherwise(F.col("threshold")).alias("threshold"),
-    ))
-    final = oof.where("inner = -1").join(F.broadcast(choices.select("set", "outer", "threshold")), ["set", "outer"])
-    return final.select(
-        ident, group, "set", F.col("outer").alias("fold"), "rep", "n", "y", "score",
-        (F.col("score") >= F.col("threshold")).cast("int").alias("pred"), "threshold",
-    ), choices
+    return oof.drop("repeat"), choices.drop("repeat")
 
 
 def fold_records(oof: DataFrame, choices: DataFrame) -> DataFrame:

@@ -90,11 +90,9 @@ def permuted_label_sets(t):
 MODES = [("reflectance", 0.0), ("reflectance", 8.0), ("transmittance", 0.0), ("transmittance", 8.0)]
 
 
-@query("evaluate_representations")
-def evaluate_representations(t):
-    """The whole evaluation over all fourteen representations, with five repeats and ten permuted label
-    sets: sixteen consecutive vectors make a unit, the signs of two bands the capture, and the unit's
-    mean sixth band its outcome. Units that miss a capture take no part."""
+def spectral_units(t):
+    """Sixteen consecutive vectors make a unit, the signs of two bands the capture, and the unit's mean
+    sixth band its outcome. Units that miss a capture take no part."""
     unit = F.floor(F.col("vec_id") / 16)
     views = t.embeddings.select(
         unit.alias("unit"), F.when(F.col("embedding")[1] < 0, "reflectance").otherwise("transmittance").alias("mode"),
@@ -103,9 +101,16 @@ def evaluate_representations(t):
     label = t.embeddings.groupBy(unit.alias("unit")).agg((F.avg(F.col("embedding")[5]) > 0).cast("int").alias("y"))
     blocks = E.unit_blocks(views, "unit", "embedding", P, MODES)
     whole = blocks.dropna(subset=[f"block_{i}" for i in range(len(MODES))])
-    reps, vectors = E.representations(whole, "unit", MODES, P, ML.FEATURE_SETS, [0, 1])
-    rows = reps.join(label, "unit").withColumn("grp", (F.col("unit") % 20).cast("int")).withColumn("stratum", F.col("grp") % 4)
-    out = E.evaluate(rows, "unit", "grp", "stratum", "y", vectors, repeats=5, permutations=ML.PERMUTATIONS, seed=SEED)
+    reps, parts = E.representations(whole, "unit", MODES, P, ML.FEATURE_SETS, [0, 1])
+    rows = reps.join(label, "unit").withColumn("grp", (F.col("unit") % 20).cast("int"))
+    return rows.withColumn("stratum", F.col("grp") % 4), parts
+
+
+@query("evaluate_representations")
+def evaluate_representations(t):
+    """The whole evaluation over all fourteen representations, with five repeats and ten permuted label sets."""
+    rows, parts = spectral_units(t)
+    out = E.evaluate(rows, "unit", "grp", "stratum", "y", parts, repeats=5, permutations=ML.PERMUTATIONS, seed=SEED)
     return rounded(out, "value")
 
 
