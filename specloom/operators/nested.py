@@ -174,7 +174,7 @@ def fit_all(
     spread = sent.repartition(len(runs), "run").sortWithinPartitions("run")
     got = spread.mapInArrow(fit, "run int, outer int, inner int, rep int, counts array<int>, w binary, b binary")
     found = {}
-    for r in got.toLocalIterator():
+    for r in got.collect():  # bounded by MOST_NUMBERS; an iterator would run one partition at a time
         counts = np.array(r["counts"])
         w = np.frombuffer(bytes(r["w"])).reshape(-1, len(counts))
         found[r["run"], r["outer"], r["inner"], r["rep"]] = counts, w, np.frombuffer(bytes(r["b"]))
