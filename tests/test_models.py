@@ -7,6 +7,7 @@ from specloom.functions.pls import pls_path
 from specloom.operators import folds as FO
 from specloom.operators import metrics as M
 from specloom.operators import models as ML
+from specloom.operators import nested as NE
 
 
 def gram(x, y):
@@ -98,3 +99,43 @@ def test_class_weights_and_shuffled_labels(spark):
     g = spark.createDataFrame([(i, i % 3) for i in range(9)], "g int, y int")
     s = ML.shuffled_group_labels(g, "g", "y", 1).collect()
     assert sorted(r["y"] for r in s) == sorted(i % 3 for i in range(9)) and len({r["g"] for r in s}) == 9
+
+
+def test_runs_fit_as_numpy_does_on_the_same_rows(spark, rows):
+    """Three repeats and a permuted set in one plan: the folds of each repeat, one score a row and run,
+    and scores, inner choices and cuts as from the data themselves."""
+    df, x, y, dish = rows
+    folds = NE.repeated_folds(df, "dish", "var", "y", 4, 3, 7).cache()
+    for r in range(3):
+        alone = FO.latin_square_folds(df, "dish", "var", "y", 4, 7 + r).select("dish", "fold")
+        assert {tuple(t) for t in alone.collect()} == {(t["dish"], t["fold"]) for t in folds.where(F.col("repeat") == r).collect()}
+    sets = ML.label_sets(df, "id", "dish", "y", 1, 5)
+    parts = {"tail": [(4, 8)], "ends": [(0, 2), (6, 8)]}
+    oof, choices = NE.nested_runs(sets, "id", "dish", "var", parts, folds, [(0, 0), (1, 0), (2, 0), (0, 1)], 4, 3, (1, 2), 7)
+    got, chosen = oof.toPandas(), choices.toPandas()
+    assert len(got) == 4 * 600 and not got.duplicated(["repeat", "set", "id"]).any() and len(chosen) == 16
+    assert (chosen[chosen["set"] == 0]["rep"] == "ends").all()
+    labels = {r["id"]: r["ys"] for r in sets.collect()}
+    fold = {(t["repeat"], t["dish"]): t["fold"] for t in folds.collect()}
+    for (r, s, k), part in got.groupby(["repeat", "set", "fold"]):
+        truth = np.array([labels[i][s] for i in range(600)])
+        out = np.array([fold[r, d] == k for d in dish])
+        assert set(part["id"]) == set(np.flatnonzero(out)) and (part["y"].to_numpy() == truth[part["id"]]).all()
+        use = np.concatenate([np.arange(a, b) for a, b in parts[part["rep"].iloc[0]]])
+        b, b0 = nipals(x[~out][:, use], np.column_stack([1 - truth, truth])[~out], part["n"].iloc[0])
+        score = x[part["id"].to_numpy()][:, use] @ (b[:, 1] - b[:, 0]) + b0[1] - b0[0]
+        assert np.allclose(part["score"], score, atol=1e-8)
+        assert ((part["score"] >= part["threshold"]) == (part["pred"] == 1)).all()
+
+
+def test_runs_without_rows_or_choice(spark):
+    kinds = "id int, dish int, var int, x array<double>, ys array<int>"
+    folds = spark.createDataFrame([(0, d, d % 2) for d in range(4)], "repeat int, dish int, fold int")
+    ask = lambda df: NE.nested_runs(df, "id", "dish", "var", {"x": [(0, 2)]}, folds, [(0, 0)], 2, 2, (1, 2), 1)
+    assert ask(spark.createDataFrame([], kinds))[0].count() == 0
+    # one class only: nothing to choose by, but every row keeps a score and a call
+    one = spark.createDataFrame([(i, i % 4, 0, [float(i), 1.0], [1]) for i in range(16)], kinds)
+    oof, choices = ask(one)
+    got = oof.collect()
+    assert len(got) == 16 and all(abs(r["score"] - 1) < 1e-9 and r["pred"] == 1 and r["threshold"] == 0.5 for r in got)
+    assert all(r["inner_auc"] is None and r["n"] == 1 for r in choices.collect())
