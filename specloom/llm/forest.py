@@ -3,8 +3,9 @@
 Each node of a tree splits its part of a bounded sample at the median along the line between two
 of its points. All vectors are dealt to one leaf a tree. A query walks all trees through one
 priority queue, nearest boundary first, and visits a share of all leaves; candidates are scored
-exactly, leaf by leaf, where leaf and queries meet. The sample is also searched whole: its best
-give every query a floor, so a leaf hands on only what can still count.
+exactly, leaf by leaf, where leaf and queries meet, and nothing else enters the result. The best of
+the sample's rows in a query's own leaves give it a floor, so a leaf hands on only what can still
+count.
 """
 
 from __future__ import annotations
@@ -45,13 +46,16 @@ class Forest:
             out[:, t] = t * self.leaves + node - (self.leaves - 1)
         return out
 
-    def visit(self, q: np.ndarray, share: float) -> list[int]:
-        """Leaves for a query, nearest first: all trees share one queue of turned-down branches."""
+    def visit(self, q: np.ndarray, share: float, sizes: np.ndarray, enough: int) -> list[int]:
+        """Leaves for a query, nearest first: all trees share one queue of turned-down branches.
+
+        A share of all leaves, and on until one tree alone has shown ``enough`` rows (``sizes`` by leaf).
+        """
         trees, inner = len(self.planes), self.leaves - 1
         want = max(trees, int(np.ceil(share * trees * self.leaves)))
         gaps = (self.planes @ q - self.cuts).tolist() if inner else []
-        queue, found = [(0.0, t, 0) for t in range(trees)], []
-        while queue and len(found) < want:
+        queue, found, seen = [(0.0, t, 0) for t in range(trees)], [], [0] * trees
+        while queue and (len(found) < want or max(seen) < enough):
             far, t, node = heapq.heappop(queue)
             while node < inner:
                 gap = gaps[t][node]
@@ -59,6 +63,7 @@ class Forest:
                 heapq.heappush(queue, (max(far, abs(gap)), t, 4 * node + 3 - near))
                 node = near
             found.append(t * self.leaves + node - inner)
+            seen[t] += int(sizes[found[-1]])
         return found
 
 
@@ -122,7 +127,8 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 20, trees: int = 8,
     A row never finds itself (its id); repeated vectors are all there, but of rows with the very
     same vector only the ``k + 1`` smallest ids are indexed, as no further one can be among ``k``.
     Rows that don't take part (see ``usable``) give and get nothing; fewer candidates than ``k``
-    give fewer rows. Leaves beyond ``chunk_rows`` are searched in chunks.
+    give fewer rows; otherwise a query goes on to further leaves until it must have met ``k`` others.
+    Leaves beyond ``chunk_rows`` are searched in chunks.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
@@ -142,7 +148,14 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 20, trees: int = 8,
                 yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(n)], names=["leaf", "n"])
 
     sizes = indexed.mapInArrow(leaves_only, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n"))
-    chunks = {r["leaf"]: -(-r["n"] // chunk_rows) for r in sizes.collect()}  # trees x leaves rows at most
+    held = np.zeros(trees * model.leaves, np.int64)
+    for r in sizes.collect():  # trees x leaves rows at most
+        held[r["leaf"]] = r["n"]
+    chunks = (-(-held // chunk_rows)).tolist()
+    in_leaf = [[] for _ in held]  # places of the sample
+    for place, found_in in enumerate(model.route(model.sample).tolist()):
+        for leaf in found_in:
+            in_leaf[leaf].append(place)
     cell_rows = pa.schema([("leaf", pa.int64()), ("chunk", pa.int32()), ("asks", pa.bool_()), ("vec_id", pa.int64()), ("floor", pa.float64()), ("v", pa.list_(pa.float64()))])
     cell = "leaf long, chunk int, asks boolean, vec_id long, floor double, v array<double>"
 
@@ -166,46 +179,35 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 20, trees: int = 8,
         for batch in batches:
             ids, x = batch_vectors(batch)
             for i, q in zip(ids.tolist(), x, strict=True):
-                scores = model.sample @ q
-                scores[model.sample_ids == i] = -np.inf
-                floor = np.partition(scores, -k)[-k] - 1e-9 * (1 + np.abs(scores[np.isfinite(scores)]).max(initial=0)) if len(scores) > k else -np.inf
-                for leaf in model.visit(q, share):
-                    for chunk in range(chunks.get(leaf, 0)):
+                leaves = model.visit(q, share, held, k + 1)
+                near = np.unique(np.concatenate([np.array(in_leaf[leaf], np.int64) for leaf in leaves]))
+                near = near[model.sample_ids[near] != i]
+                scores = model.sample[near] @ q
+                floor = np.partition(scores, -k)[-k] - 1e-9 * (1 + np.abs(scores).max()) if len(scores) >= k else -np.inf
+                for leaf in leaves:
+                    for chunk in range(chunks[leaf]):
                         yield from out.add(leaf, chunk, True, i, float(floor), q, weight=8 * dims)
         yield from out.flush()
 
-    def in_sample(batches):
-        out = Rows(found_rows)
-        for batch in batches:
-            ids, x = batch_vectors(batch)
-            for i, q in zip(ids.tolist(), x, strict=True):
-                scores = model.sample @ q
-                scores[model.sample_ids == i] = -np.inf
-                some = best(scores, k)
-                for j, s in zip(some.tolist(), exact(model.sample[some], q).tolist(), strict=True):
-                    if model.sample_ids[j] != i:
-                        yield from out.add(i, int(model.sample_ids[j]), s)
-        yield from out.flush()
-
     found_rows = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
     found = "query_id long, vec_id long, score double"
 
     def meet(batches):
-        out, now, ids, held, x = Rows(found_rows), None, [], [], None
+        out, now, ids, rows_here, x = Rows(found_rows), None, [], [], None
         for batch in batches:
             leaf, chunk, asks, floors = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("leaf", "chunk", "asks", "floor"))
             vec_ids, v = batch_vectors(batch)
             for j in range(batch.num_rows):
                 if (leaf[j], chunk[j]) != now:
-                    now, ids, held, x = (leaf[j], chunk[j]), [], [], None
+                    now, ids, rows_here, x = (leaf[j], chunk[j]), [], [], None
                 if not asks[j]:
                     ids.append(vec_ids[j])
-                    held.append(v[j])
+                    rows_here.append(v[j])
                     continue
-                if not held:
+                if not rows_here:
                     continue
                 if x is None:
-                    x, of = np.array(held), np.array(ids)
+                    x, of = np.array(rows_here), np.array(ids)
                 scores = x @ v[j]
                 scores[(of == vec_ids[j]) | (scores < floors[j])] = -np.inf
                 some = best(scores, k)
@@ -217,6 +219,6 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 20, trees: int = 8,
     queries = rows.where(is_query)
     cells = indexed.mapInArrow(deal, cell).unionByName(queries.mapInArrow(ask, cell))
     met = cells.repartition("leaf", "chunk").sortWithinPartitions("leaf", "chunk", "asks").mapInArrow(meet, found)
-    every = met.unionByName(queries.mapInArrow(in_sample, found)).dropDuplicates(["query_id", "vec_id"])
+    every = met.dropDuplicates(["query_id", "vec_id"])
     ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

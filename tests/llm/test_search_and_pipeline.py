@@ -41,6 +41,19 @@ def test_forest(spark, folder):
     assert all(abs(s - known[q] @ known[i]) < 1e-12 for q, found in got.items() for i, s in found)
 
 
+def test_forest_recall_with_a_sample_much_smaller_than_the_table(spark):
+    x = np.random.default_rng(8).standard_normal((6000, 64))
+    rows = list(enumerate((x / np.linalg.norm(x, axis=1, keepdims=True)).tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = [i for i, _ in rows if i % 100 == 0]
+    got, want = lists(forest.nearest(df, F.col("vec_id") % 100 == 0, sample_rows=600)), brute(rows, asked, 20)
+    assert got.keys() == want.keys() and all(len(f) == 20 for f in got.values())
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+    # tiny leaves and a tiny share: fewer of the nearest, but never fewer rows
+    got = lists(forest.nearest(df.where("vec_id < 600"), F.col("vec_id") % 100 == 0, trees=2, leaf_rows=4, share=0.001))
+    assert all(len(f) == 20 for f in got.values()) and len(got) == 6
+
+
 def test_odd_vectors(spark):
     rows = [(i, [1.0, 0.0]) for i in range(60)] + [(100 + i, [0.5, float(i)]) for i in range(5)]
     odd = [(200, None), (201, [0.0, 0.0]), (202, [float("nan"), 1.0]), (203, [None, 1.0]), (204, [float("inf"), 1.0]), (205, [1.0]), (None, [1.0, 1.0])]
