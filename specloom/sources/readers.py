@@ -142,21 +142,21 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
 def read_label_grid(cells: DataFrame, n_wells: int = 22, n_groups: int = 25) -> DataFrame:
     """Unpivot the dish x well sheet to (dish, cell_index, first_day).
 
-    The header must read 0..n_wells-1, each dish appear once and lie in range.
+    The header must name the wells 0..n_wells-1 once each, in any order; columns under other
+    heads, such as notes, hold no labels.  Each dish must appear once and lie in range.
     """
-    header = cells.where("row = 1 AND col > 0").agg(
-        F.array_sort(F.collect_list(F.struct("col", F.col("text").try_cast("double").alias("v")))).alias("h")
-    )
-    expected = F.transform(F.sequence(F.lit(1), F.lit(n_wells)), lambda i: F.struct(i.alias("col"), (i - 1).cast("double").alias("v")))
-    good = header.select(F.when(F.to_json("h") == F.to_json(expected), True).otherwise(
+    number = F.col("text").try_cast("double")
+    heads = cells.where("row = 1 AND col > 0").where(number == F.floor(number)).select("col", number.cast("int").alias("well"))
+    named = heads.agg(F.array_sort(F.collect_list("well")).alias("h"))
+    good = named.select(F.when(F.to_json("h") == F.to_json(F.sequence(F.lit(0), F.lit(n_wells - 1))), True).otherwise(
         F.raise_error(F.lit("the header is not the expected well numbers")).cast("boolean"))).scalar()
     dishes = cells.where("row > 1 AND col = 0").select("row", F.col("text").try_cast("double").cast("int").alias("dish"))
     once = dishes.groupBy("dish").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"))
     fine = (F.col("n") == 1) & F.col("dish").between(0, n_groups - 1)
     once = once.select("row", F.when(fine, F.col("dish")).otherwise(_fail("bad or repeated dish: ", F.coalesce(F.col("dish"), F.lit(-1))).cast("int")).alias("dish"))
     body = cells.where("row > 1 AND col > 0").where(~is_unscored("text")).withColumn("__ok", good)
-    out = body.join(once, "row").where("__ok")
-    return out.select("dish", (F.col("col") - 1).cast("int").alias("cell_index"), coerce_day("text").alias("first_day"))
+    out = body.join(once, "row").join(heads, "col").where("__ok")
+    return out.select("dish", F.col("well").alias("cell_index"), coerce_day("text").alias("first_day"))
 
 
 def grid_to_labels(grid: DataFrame, all_views: DataFrame) -> DataFrame:

@@ -153,7 +153,10 @@ def test_label_grid(spark, tmp_path):
 
     got = load([["dish", 0, 1, 2], [4, 1, "never", None], [0, None, 3, "?"]]).collect()
     assert {(r["dish"], r["cell_index"], r["first_day"]) for r in got} == {(4, 0, 1), (4, 1, None), (0, 1, 3)}
-    for rows, message in (([["dish", 1, 2, 3], [0, 1, 1, 1]], "header"), ([["dish", 0, 1, 2], [0, 1, 1, 1], [0, 2, 2, 2]], "repeated dish"),
+    # wells in another order, and a column of notes between them
+    got = load([["dish", 2, "note", 0, 1], [4, 1, "wet", "never", None], [0, None, "dry", 3, 2]]).collect()
+    assert {(r["dish"], r["cell_index"], r["first_day"]) for r in got} == {(4, 2, 1), (4, 0, None), (0, 0, 3), (0, 1, 2)}
+    for rows, message in (([["dish", 1, 2, 3], [0, 1, 1, 1]], "header"), ([["dish", 0, 1, 1, 2], [0, 1, 1, 1, 1]], "header"), ([["dish", 0, 1, 2], [0, 1, 1, 1], [0, 2, 2, 2]], "repeated dish"),
                           ([["dish", 0, 1, 2], [7, 1, 1, 1]], "repeated dish"), ([["dish", 0, 1, 2], [0, "x", 1, 1]], "not an event day")):
         with pytest.raises(Exception, match=message):
             load(rows).collect()
