@@ -31,8 +31,8 @@ def line_number(name: Column) -> Column:
     return F.regexp_extract(name, r"^(\d+)_", 1).try_cast("int")
 
 
-def line_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(capture, name, line, stamp, content): one row per line file below ``folder``."""
+def line_files(spark: SparkSession, folder: str | list[str]) -> DataFrame:
+    """(capture, name, line, stamp, content): one row per line file below ``folder`` (or several)."""
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").option("recursiveFileLookup", "true").load(folder)
     )

@@ -14,22 +14,25 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sources.lines import CHANNELS, WIDTH, line_number, number_lines, unpack_lines
 
 
-def watch_lines(spark: SparkSession, folder: str) -> DataFrame:
-    files = (
+def file_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
+    """(capture, name, content) of line files as they arrive; contents that are not selected are not read."""
+    reader = (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("pathGlobFilter", "*.bin")
         .option("recursiveFileLookup", "true")
-        .load(folder)
     )
-    return files.select(
-        F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("capture"),
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("name"),
-        line_number(F.regexp_extract("path", r"([^/]+)$", 1)).alias("line"),
-        "content",
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
+    return reader.load(folder).select(
+        F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("capture"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "content"
     )
 
 
+def watch_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return file_stream(spark, folder).select("capture", "name", line_number(F.col("name")).alias("line"), "content")
+
+
 def ingest(
     spark: SparkSession, folder: str, out: str, checkpoint: str, width: int = WIDTH, channels: int = CHANNELS
 ) -> StreamingQuery:
