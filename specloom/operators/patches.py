@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,9 +19,9 @@ PATCH_H, PATCH_W = 128, 64
 FLOOR = 1e-4
 
 
-def working_pixels(cube: DataFrame, width: int) -> DataFrame:
+def working_pixels(cube: DataFrame, width: int | Column) -> DataFrame:
     """Working frame of a cube: x runs against the spatial row, y along the scan."""
-    return cube.withColumn("x", F.lit(width - 1) - F.col("row")).withColumn("y", F.col("line"))
+    return cube.withColumn("x", F.lit(width) - 1 - F.col("row")).withColumn("y", F.col("line"))
 
 
 def frame_identity(cube: DataFrame, working: DataFrame, on: Sequence[str], width: int) -> DataFrame:
@@ -94,7 +94,7 @@ def cut_patches(boxed: DataFrame, on: Sequence[str], view: str, height: int = PA
         back = homography(np.array([[0, 0], [width, 0], [width, height], [0, height]], float), corners)
         py, px = (g.ravel() for g in np.mgrid[:height, :width])
         u, v, s = back @ np.stack([px, py, np.ones_like(px)])
-        u, v = u / s, v / s
+        u, v = (np.where(np.abs(c - np.rint(c)) < 1e-6, np.rint(c), c) for c in (u / s, v / s))
         patch = bilinear(img, u, v).astype(np.float16).astype(np.float32)
         near = (np.rint(v).astype(int), np.rint(u).astype(int))
         ok = (near[0] >= 0) & (near[0] < shape[0]) & (near[1] >= 0) & (near[1] < shape[1])

@@ -1,6 +1,7 @@
 """Collects every named query."""
 
 from . import (  # noqa: F401
+    build_queries,
     correction_queries,
     gate_queries,
     mask_queries,
