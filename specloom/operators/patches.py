@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .collapse import mean_vector_skipnan
+from ..functions.spectral import dot, let, spectrum_pipeline, total, vector_literal
 from .masks import _components
+from .ordered import exact_percentiles
 from .plate import bbox
 
 # Patch size and log floor.
@@ -138,6 +140,41 @@ def mask_mean_spectrum(pixels: DataFrame, keys: Sequence[str], vector: str, size
     return every.join(means, list(keys), "left").withColumn("spectrum", F.coalesce("spectrum", empty))
 
 
+def patch_scores(pixels: DataFrame, vector: str, mean: np.ndarray, loadings: np.ndarray, deriv: int = 0, inside: str = "inside") -> DataFrame:
+    """Adds ``scores``: a fitted basis (bands x components) applied to every inside pixel, in its row.
+
+    Pixels are prepared as spectra are. One outside, or with any missing band, has no scores (NULL).
+    """
+    whole = F.col(inside) & ~F.exists(vector, lambda x: F.coalesce(F.isnan(x), F.lit(True)))
+    at_mean = mean @ loadings
+    project = lambda z: F.array(*[dot(z, vector_literal(loadings[:, k])) - float(at_mean[k]) for k in range(loadings.shape[1])])
+    return pixels.withColumn("scores", F.when(whole, let(spectrum_pipeline(vector, deriv), project)))
+
+
+# Fixed values of the display stretch: percentiles of the masked pixels, and the room left beyond them.
+DISPLAY_LO, DISPLAY_HI, DISPLAY_PAD = 0.02, 0.98, 0.15
+
+
+def patch_image(pixels: DataFrame, keys: Sequence[str], vector: str, inside: str = "inside") -> DataFrame:
+    """Adds ``shade`` (0..1) and its view's ``invalid``, the share of missing values inside the mask.
+
+    Band means are stretched between percentiles of the view's inside pixels (of all its pixels if it has
+    none, which makes it wholly invalid); a pixel without any value has mean 0.
+    """
+    keys = list(keys)
+    seen = F.filter(vector, lambda x: x.isNotNull() & ~F.isnan(x))
+    mean = F.when(F.size(seen) > 0, total(seen.cast("array<double>")) / F.size(seen)).otherwise(0.0)
+    gray = pixels.withColumns({"__gray": mean, "__seen": F.size(seen), "__all": F.size(vector)})
+    only = lambda c: F.sum(F.when(F.col(inside), F.col(c)))
+    told = gray.groupBy(*keys).agg(F.coalesce(1 - F.try_divide(only("__seen"), only("__all")), F.lit(1.0)).alias("invalid"), F.coalesce(F.bool_or(inside), F.lit(False)).alias("__any"))
+    both = gray.join(told, keys)
+    ends = exact_percentiles(both.where(F.col(inside) | ~F.col("__any")), keys, "__gray", {"__lo": DISPLAY_LO, "__hi": DISPLAY_HI}).drop("n")
+    span = F.col("__hi") - F.col("__lo")
+    pad = DISPLAY_PAD * F.greatest(span, F.lit(1e-9))
+    shade = (F.col("__gray") - F.col("__lo") + pad) / F.greatest(span + 2 * pad, F.lit(1e-9))
+    return both.join(ends, keys).withColumn("shade", F.greatest(F.lit(0.0), F.least(F.lit(1.0), shade))).drop("__gray", "__seen", "__all", "__any", "__lo", "__hi")
+
+
 def otsu(df: DataFrame, keys: Sequence[str], gray: str) -> DataFrame:
     """Otsu's cut of 0..255 gray levels per key, from the 256-bin histogram.
 

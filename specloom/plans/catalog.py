@@ -4,6 +4,7 @@ from . import (  # noqa: F401
     build_queries,
     correction_queries,
     gate_queries,
+    image_queries,
     mask_queries,
     model_queries,
     plate_queries,
