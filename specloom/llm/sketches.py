@@ -121,7 +121,8 @@ def ordered_runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Compressed texts in runs of ascending ids; each run ends with the next run's first document.
 
     Runs start at ids that are quantiles of all ids, so the row that two runs share is known
-    before any is sorted. Nulls come first; rows with the same id are in order of their bytes.
+    before any is sorted. Nulls come first; rows with the same id are in order of their
+    compressed bytes, which holds within a run but may differ between versions of zstandard.
     """
     spark, kept = docs.sparkSession, id_and_text(docs, id_col, text_col)
     key = F.coalesce("doc_id", F.lit(LOWEST))
