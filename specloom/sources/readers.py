@@ -192,6 +192,15 @@ def latest_run(spark: SparkSession, folder: str) -> DataFrame:
     return runs.orderBy(F.desc("modificationTime"), F.desc("path")).limit(1)
 
 
+def read_run(spark: SparkSession, run: str, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(record, predictions) of a written run, named by its path or by its bare name below ``folder``.
+
+    Both are lazy; columns and filters of the predictions reach their Parquet files.
+    """
+    path = f"{folder}/{run}" if folder is not None and "/" not in run else run
+    return spark.read.json(f"{path}/meta"), spark.read.parquet(f"{path}/predictions")
+
+
 def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
     """sha256 and size of every file."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))

@@ -208,6 +208,12 @@ def test_writers_scrub(spark, tmp_path):
     assert r["x"] is None and r["v"] == [1.0, None]
     writers.write_run(df, df, str(tmp_path / "run"))
     assert spark.read.parquet(str(tmp_path / "run" / "predictions")).first()["x"] is None
+    for meta, predictions in (readers.read_run(spark, "run", str(tmp_path)), readers.read_run(spark, str(tmp_path / "run"))):
+        assert meta.first()["k"] == 1 and predictions.columns == ["k", "x", "v"] and predictions.first()["v"] == [1.0, None]
+    plan = predictions.where("k = 1").select("x")._jdf.queryExecution().toString()
+    assert "EqualTo(k,1)" in plan and "ReadSchema: struct<k:int,x:double>" in plan
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        readers.read_run(spark, "absent", str(tmp_path))
     views = spark.createDataFrame([("r", 0.0, 1), ("t", 8.0, 2)], "mode string, hours double, row int")
     writers.write_views(views, str(tmp_path / "v"))
     back = spark.read.parquet(str(tmp_path / "v")).where("mode = 't'")
