@@ -19,6 +19,7 @@ from ..operators import masks as K
 from ..operators import ordered
 from ..operators import patches as X
 from ..operators import plate as P
+from ..operators.collapse import mean_vector_skipnan
 from ..session import settle, written
 
 # Problems that forbid a build.
@@ -86,12 +87,15 @@ def cut_views(cube: DataFrame, planned: Planned, settings: Settings) -> DataFram
 
 
 def index_views(pixels: DataFrame, planned: Planned, settings: Settings) -> DataFrame:
-    """One row per view: its place, its counts and its spectrum, taken from the patch as stored."""
+    """One row per view: its place, its counts and its spectrum, taken from the patch as stored.
+
+    One aggregate over the pixels, so that patches are not cut twice; a band without values is NaN.
+    """
     keys = ["capture", "ann_id"]
     counts = ["sat_frac", "clipped_frac", "nan_frac", "patch_mask_px"]
-    told = pixels.groupBy(*keys).agg(*[F.first(c).alias(c) for c in counts])
-    spectra = X.mask_mean_spectrum(pixels, keys, "bands", settings.bands)
-    return planned.rows.drop("corners", "h", "w").join(told, keys).join(spectra, keys)
+    masked = pixels.withColumn("__inside", F.when(F.col("inside"), F.col("bands")))
+    told = masked.groupBy(*keys).agg(*[F.first(c).alias(c) for c in counts], mean_vector_skipnan("__inside", settings.bands).alias("spectrum"))
+    return planned.rows.drop("corners", "h", "w").join(told, keys)
 
 
 def content_keys(captures: DataFrame, cells: DataFrame, masks: DataFrame, settings: Settings) -> DataFrame:
