@@ -2,18 +2,22 @@
 
 A mask is kept as rows ``(keys, c, r0, r1)``: the set rows r0..r1 of column c.  Area,
 box, erosion and overlap are arithmetic on segments, so no pixel table is built.
+
+Components and erosion gather a mask into one row and work on many masks at once, as
+flat arrays ``(mask, c, r0, r1)`` of a batch of rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from itertools import product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..session import settle
@@ -22,25 +26,43 @@ MIN_CONTAINMENT = 0.50
 MARKER_LABEL, RIM_LABEL = 100, 200
 
 
-SEGMENTS = T.StructType([T.StructField(x, T.ArrayType(T.LongType())) for x in ("c", "r0", "r1")])
+#: Rows of a batch worked on at once.
+MASKS_AT_ONCE = 1000
+
+
+def _numbers(a: pa.Array) -> np.ndarray:
+    return a.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _lengths(lists: pa.Array) -> np.ndarray:
+    return _numbers(pc.fill_null(pc.list_value_length(lists), 0))
+
+
+def _within(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(list, place in it) of every element of lists laid end to end."""
+    of = np.repeat(np.arange(len(lengths)), lengths)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def _cut(counts: pa.Array, tall: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Column segments (list, c, r0, r1) of run lengths: running sums, cut at column borders."""
+    lengths, n = _lengths(counts), _numbers(counts.flatten())
+    of, place = _within(lengths)
+    end = np.cumsum(n)
+    stop = np.cumsum(lengths)
+    before = np.concatenate([[0], end])[stop - lengths]
+    fore = (place % 2 == 1) & (n > 0)
+    of = of[fore]
+    first, last, h = (end - n)[fore] - before[of], end[fore] - 1 - before[of], tall[of]
+    run, place = _within(last // h - first // h + 1)
+    c = first[run] // h[run] + place
+    r0 = np.where(place == 0, first[run] % h[run], 0)
+    r1 = np.where(c == last[run] // h[run], last[run] % h[run], h[run] - 1)
+    return of[run], c, r0, r1
 
 
-@F.pandas_udf(SEGMENTS)
-def _segments(counts: pd.Series, h: pd.Series) -> pd.DataFrame:
-    """Column segments of one mask a row: a running sum over its run lengths, cut at column borders."""
-    out = []
-    for lengths, tall in zip(counts, h):
-        n = np.asarray([] if lengths is None else lengths, dtype=np.int64)
-        start = np.cumsum(n) - n
-        fore = (np.arange(len(n)) % 2 == 1) & (n > 0)
-        first, last = start[fore], (start + n - 1)[fore]
-        columns = last // tall - first // tall + 1
-        run = np.repeat(np.arange(len(first)), columns)
-        c = first[run] // tall + np.arange(len(run)) - np.repeat(np.cumsum(columns) - columns, columns)
-        r0 = np.where(c == first[run] // tall, first[run] % tall, 0)
-        r1 = np.where(c == last[run] // tall, last[run] % tall, tall - 1)
-        out.append((c, r0, r1))
-    return pd.DataFrame(out, columns=["c", "r0", "r1"])
+def _kinds(df: DataFrame, keys: Sequence[str]) -> str:
+    return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
 
 def decode_rle(masks: DataFrame, keys: Sequence[str], counts: str) -> DataFrame:
@@ -48,9 +70,82 @@ def decode_rle(masks: DataFrame, keys: Sequence[str], counts: str) -> DataFrame:
 
     Run lengths alternate from background.  A mask is one row, so its running sum needs no shuffle.
     """
-    cut = masks.select(*keys, _segments(F.col(counts).cast("array<bigint>"), F.col("h").cast("bigint")).alias("__s"))
-    zipped = F.arrays_zip(F.col("__s.c").alias("c"), F.col("__s.r0").alias("r0"), F.col("__s.r1").alias("r1"))
-    return cut.select(*keys, F.inline(zipped))
+    names = [*keys, "c", "r0", "r1"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _slices(batches):
+            of, *segment = _cut(some.column("__n"), _numbers(some.column("__h")))
+            yield pa.RecordBatch.from_arrays([some.column(k).take(pa.array(of)) for k in keys] + [pa.array(x) for x in segment], names=names)
+
+    rows = masks.select(*keys, F.col(counts).cast("array<bigint>").alias("__n"), F.col("h").cast("bigint").alias("__h"))
+    return rows.mapInArrow(run, f"{_kinds(masks, keys)}, c bigint, r0 bigint, r1 bigint")
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, MASKS_AT_ONCE):
+            yield batch.slice(start, MASKS_AT_ONCE)
+
+
+def gather_rle(masks: DataFrame, keys: Sequence[str], counts: str) -> DataFrame:
+    """One row per mask of run-length encoded ones: (keys, parts); rows of equal keys draw one mask."""
+    part = F.struct(F.col(counts).cast("array<bigint>").alias("n"), F.col("h").cast("bigint").alias("h"))
+    return masks.groupBy(*keys).agg(F.collect_list(part).alias("parts"))
+
+
+def gather(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per mask of segments: (keys, parts)."""
+    return segments.groupBy(*keys).agg(F.collect_list(F.struct(*[F.col(x).cast("bigint").alias(x) for x in ("c", "r0", "r1")])).alias("parts"))
+
+
+def _segments(parts: pa.Array) -> tuple[np.ndarray, ...]:
+    """Segments (mask, c, r0, r1) of gathered masks, by mask, column and row."""
+    mask, _ = _within(_lengths(parts))
+    each = parts.flatten()
+    if each.type.get_field_index("n") >= 0:
+        of, *rest = _cut(each.field("n"), _numbers(each.field("h")))
+        mask = mask[of]
+    else:
+        rest = [_numbers(each.field(x)) for x in ("c", "r0", "r1")]
+    return _sorted(mask, *rest)
+
+
+def _sorted(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows by their first three columns; most come in order."""
+    key = columns[0]
+    for x in columns[1:3] if len(key) else ():
+        low = int(x.min())
+        key = key * (int(x.max()) - low + 1) + x - low
+    if (np.diff(key) >= 0).all():
+        return columns
+    order = np.argsort(key, kind="stable")
+    return tuple(x[order] for x in columns)
+
+
+def _per_mask(gathered: DataFrame, keys: Sequence[str], columns: str, work: Callable) -> DataFrame:
+    """``work`` on the rows of gathered masks, many at once: (keys, columns, c[], r0[], r1[]).
+
+    It returns the ``columns`` of every mask of a batch, and segments; masks without components
+    or, where they are not counted, without segments do not come back.
+    """
+    extra = f", {columns}" if columns else ""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _slices(batches):
+            told, mask, *segment = work(some)
+            n = np.bincount(mask, minlength=some.num_rows)
+            go = np.flatnonzero(told.get("n_components", n))
+            ends = pa.array(np.concatenate([[0], np.cumsum(n[go])]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in segment]
+            heads = [some.column(k).take(pa.array(go)) for k in keys]
+            yield pa.RecordBatch.from_arrays([*heads, *[pa.array(v[go]) for v in told.values()], *lists], names=[*keys, *told, "c", "r0", "r1"])
+
+    return gathered.mapInArrow(run, f"{_kinds(gathered, keys)}{extra}, c array<bigint>, r0 array<bigint>, r1 array<bigint>")
+
+
+def spread(whole: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Segment rows of masks held as arrays (keys, c[], r0[], r1[]); a mask with a NULL key meets no other table."""
+    return whole.select(*keys, F.inline(F.arrays_zip("c", "r0", "r1"))).dropna(subset=list(keys))
 
 
 def mask_box(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -84,41 +179,96 @@ def ellipse_reach(px: int) -> list[int]:
     return [max(abs(dy) for dy, w in zip(range(-px, px + 1), half_width) if w >= abs(dc)) for dc in range(-px, px + 1)]
 
 
+def _merged(mask: np.ndarray, c: np.ndarray, r0: np.ndarray, r1: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Touching or overlapping segments of a column as maximal ones; sorted on both sides."""
+    if not len(c):
+        return mask, c, r0, r1
+    column = np.cumsum(np.r_[0, (np.diff(mask) != 0) | (np.diff(c) != 0)])
+    wide = int(r1.max()) + 2
+    top = np.maximum.accumulate(column * wide + r1)
+    new = np.flatnonzero(np.r_[True, (np.diff(column) != 0) | (r0[1:] > top[:-1] - column[1:] * wide + 1)])
+    return mask[new], c[new], r0[new], (top - column * wide)[np.r_[new[1:] - 1, len(c) - 1]]
+
+
+def _eroded(mask: np.ndarray, c: np.ndarray, r0: np.ndarray, r1: np.ndarray, px: int, sizes: list) -> tuple[np.ndarray, ...]:
+    """Segments that are left; ``sizes`` holds each mask's frames [(h, w)].
+
+    Every column offset meets a frame of its own, as in a join: a mask with m frames comes once
+    for each choice of frames.  Equal frames make one border.
+    """
+    offsets = range(-px, px + 1)
+    choices = [list(product(s, repeat=len(offsets))) for s in sizes]
+    # copy a mask's segments for each of its choices
+    owner = np.repeat(np.arange(len(sizes)), [len(x) for x in choices])
+    frames = np.array([x for some in choices for x in some], np.int64).reshape(len(owner), len(offsets), 3)
+    mask, c, r0, r1 = _merged(mask, c, r0, r1)
+    first, last = np.searchsorted(mask, owner, "left"), np.searchsorted(mask, owner, "right")
+    copy, place = _within(last - first)
+    c, r0, r1 = (x[first[copy] + place] for x in (c, r0, r1))
+    if not len(c):
+        return owner[copy], c, r0, r1
+    wide, tall = int(c.max()) + 2 * px + 2, int(max(r1.max(), frames[:, :, 0].max())) + 2
+    kept = None
+    for k, (dc, reach) in enumerate(zip(offsets, ellipse_reach(px))):
+        h, w, new = frames[copy, k].T
+        lo, hi = np.where(r0 == 0, 0, r0 + reach), np.where(r1 == h - 1, r1, r1 - reach)
+        some = lo <= hi
+        part = [(copy * wide + c - dc + px)[some], lo[some], hi[some]]
+        # Columns beyond the frame count as set.
+        out = np.flatnonzero(((c + dc < 0) | (c + dc >= w)) & (h > 0) & (new > 0)) if dc else np.arange(0)
+        column, at = np.unique((copy * wide + c + px)[out], return_index=True)
+        edge = [column, np.zeros(len(column), np.int64), h[out][at] - 1]
+        if kept is None:
+            kept = [np.concatenate(x) for x in zip(part, edge)]
+        else:
+            kept = [np.concatenate(x) for x in zip(_meet(*kept, *part, tall), _meet(*kept, *edge, tall))]
+        kept = _sorted(*kept)
+    column, r0, r1 = kept
+    return owner[column // wide], column % wide - px, r0, r1
+
+
+def _meet(column: np.ndarray, r0: np.ndarray, r1: np.ndarray, other: np.ndarray, a: np.ndarray, b: np.ndarray, tall: int) -> list[np.ndarray]:
+    """Common rows of two lists of segments; the second is sorted and disjoint within a column."""
+    lo = np.searchsorted(other * tall + b, column * tall + r0, "left")
+    hi = np.searchsorted(other * tall + a, column * tall + r1, "right")
+    mine, place = _within(np.maximum(hi - lo, 0))
+    theirs = lo[mine] + place
+    return [column[mine], np.maximum(r0[mine], a[theirs]), np.minimum(r1[mine], b[theirs])]
+
+
+def _frames(gathered: DataFrame, keys: Sequence[str], size: DataFrame, how: str = "inner") -> DataFrame:
+    """Gathered masks with their frames, as many as ``size`` (keys, h, w) has."""
+    frame = F.struct(F.col("h").cast("bigint").alias("h"), F.col("w").cast("bigint").alias("w"))
+    return gathered.join(size.groupBy(*keys).agg(F.collect_list(frame).alias("__size")), list(keys), how)
+
+
+def _sizes(column: pa.Array) -> list:
+    """Frames (h, w, whether it is the first of its kind) of every mask; an unknown size has no border."""
+    plain = [[(-1, 1 << 40) if None in s.values() else (s["h"], s["w"]) for s in some or ()] for some in column.to_pylist()]
+    return [[(*s, some.index(s) == k) for k, s in enumerate(some)] for some in plain]
+
+
+def erode_gathered(gathered: DataFrame, keys: Sequence[str], px: int, size: DataFrame) -> DataFrame:
+    """Eroded masks (keys, c[], r0[], r1[]) of gathered ones; see ``erode``."""
+
+    def work(some: pa.RecordBatch):
+        return {}, *_eroded(*_segments(some.column("parts")), px, _sizes(some.column("__size")))
+
+    return _per_mask(_frames(gathered, keys, size), keys, "", work)
+
+
 def erode(segments: DataFrame, keys: Sequence[str], px: int, size: DataFrame) -> DataFrame:
     """Shrink masks by an elliptical window; the frame border itself does not erode.
 
     ``size`` holds (keys, h, w).  A pixel survives if, at every column offset, its
     reach lies inside one segment: each offset gives a set of row intervals per column,
-    and the sets are intersected by equi-joins on (mask, column).
+    and the sets are intersected.
     """
-    if px <= 0:
-        return segments
-    whole = merge_segments(segments, keys).join(size.select(*keys, "h", "w"), list(keys))
-    kept = None
-    for dc, reach in zip(range(-px, px + 1), ellipse_reach(px)):
-        lo = F.when(F.col("r0") == 0, 0).otherwise(F.col("r0") + reach)
-        hi = F.when(F.col("r1") == F.col("h") - 1, F.col("r1")).otherwise(F.col("r1") - reach)
-        part = whole.select(*keys, (F.col("c") - dc).alias("c"), lo.alias("a"), hi.alias("b"))
-        if dc:
-            # Columns beyond the frame count as set.
-            edge = whole.select(*keys, "h", "w", "c").distinct().where(
-                (F.col("c") + dc < 0) | (F.col("c") + dc >= F.col("w"))
-            )
-            part = part.unionByName(edge.select(*keys, "c", F.lit(0).cast("bigint").alias("a"), (F.col("h") - 1).cast("bigint").alias("b")))
-        part = part.where("a <= b")
-        if kept is None:
-            kept = part.select(*keys, "c", F.col("a").alias("r0"), F.col("b").alias("r1"))
-        else:
-            kept = (
-                kept.join(part, [*keys, "c"])
-                .where((F.col("a") <= F.col("r1")) & (F.col("b") >= F.col("r0")))
-                .select(*keys, "c", F.greatest("r0", "a").alias("r0"), F.least("r1", "b").alias("r1"))
-            )
-    return kept
+    return spread(erode_gathered(gather(segments, keys), keys, px, size), keys) if px > 0 else segments
 
 
 def _components(c: np.ndarray, r0: np.ndarray, r1: np.ndarray) -> np.ndarray:
-    """Component label per segment under 8-connectivity (segments sorted by column, row)."""
+    """Component label per segment under 8-connectivity (segments sorted by column, row): its first segment."""
     n = len(c)
     tall = int(r1.max()) + 3 if n else 1
     edges = []
@@ -126,39 +276,69 @@ def _components(c: np.ndarray, r0: np.ndarray, r1: np.ndarray) -> np.ndarray:
         key = c * tall + r1
         lo = np.searchsorted(key, (c + step) * tall + np.maximum(r0 - 1, 0), side="left")
         hi = np.searchsorted(c * tall + r0, (c + step) * tall + r1 + 1, side="right")
-        reach = np.maximum(hi - lo, 0)
-        a = np.repeat(np.arange(n), reach)
-        b = np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach) + np.repeat(lo, reach)
-        edges.append((a, b))
+        a, place = _within(np.maximum(hi - lo, 0))
+        edges.append((a, lo[a] + place))
     a, b = np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges])
     label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if np.array_equal(new, label):
-            return label
-        label = new
+    # Every root joins its smallest neighbour; only edges between different roots stay.
+    while len(a):
+        root = np.arange(n)
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := root[root], root):
+            root = up
+        label, a, b = root[label], root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    return label
+
+
+def _labelled(mask: np.ndarray, c: np.ndarray, r0: np.ndarray, r1: np.ndarray) -> np.ndarray:
+    """Components of many masks, each two columns away from the next."""
+    return _components(mask * (int(c.max()) + 3 if len(c) else 1) + c, r0, r1)
+
+
+def _largest(mask: np.ndarray, c: np.ndarray, r0: np.ndarray, r1: np.ndarray, n: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """(counts of every mask, whether a segment belongs to its mask's largest component)."""
+    label = _labelled(mask, c, r0, r1)
+    roots, which = np.unique(label, return_inverse=True)
+    px = np.bincount(which, r1 - r0 + 1, len(roots)).astype(np.int64)
+    first = np.full(len(roots), np.iinfo(np.int64).max)
+    np.minimum.at(first, which, r0 * (int(c.max()) + 1 if len(c) else 1) + c)
+    order = np.lexsort((roots, first, -px, mask[roots]))
+    of, at = np.unique(mask[roots][order], return_index=True)
+    raw, top = np.bincount(mask[roots], px, n).astype(np.int64), np.zeros(n, np.int64)
+    top[of] = px[order[at]]
+    kept = np.zeros(len(roots), bool)
+    kept[order[at]] = True
+    return {"n_components": np.bincount(mask[roots], minlength=n), "raw_px": raw, "dropped_px": raw - top}, kept[which]
 
 
 def label_components(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds ``component`` to every segment (8-connectivity).
+    """Adds ``component`` to every segment (8-connectivity): its number among the mask's segments."""
 
-    One group is one mask, bounded by its image; Spark spreads the masks.
-    """
-    fields = [segments.schema[k] for k in keys]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    names = [*keys, "c", "r0", "r1", "component"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["c", "r0"], ignore_index=True)
-        pdf["component"] = _components(pdf["c"].to_numpy(), pdf["r0"].to_numpy(), pdf["r1"].to_numpy())
-        return pdf
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _slices(batches):
+            found = _segments(some.column("parts"))
+            start = np.searchsorted(found[0], found[0], "left")
+            told = [pa.array(x) for x in (*found[1:], _labelled(*found) - start)]
+            yield pa.RecordBatch.from_arrays([some.column(k).take(pa.array(found[0])) for k in keys] + told, names=names)
 
-    return segments.select(*keys, "c", "r0", "r1").groupBy(*keys).applyInPandas(
-        run, f"{schema}, c bigint, r0 bigint, r1 bigint, component bigint"
-    )
+    return gather(segments, keys).mapInArrow(run, f"{_kinds(segments, keys)}, c bigint, r0 bigint, r1 bigint, component bigint")
+
+
+COUNTS = ["n_components", "raw_px", "dropped_px"]
+
+
+def largest_gathered(gathered: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, n_components, raw_px, dropped_px, c[], r0[], r1[]) of gathered masks; see ``largest_component``."""
+
+    def work(some: pa.RecordBatch):
+        found = _segments(some.column("parts"))
+        told, kept = _largest(*found, some.num_rows)
+        return told, *[x[kept] for x in found]
+
+    return _per_mask(gathered, keys, ", ".join(f"{x} bigint" for x in COUNTS), work)
 
 
 def largest_component(segments: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -166,21 +346,27 @@ def largest_component(segments: DataFrame, keys: Sequence[str]) -> tuple[DataFra
 
     Ties go to the component whose first pixel comes first in row-major order.
     """
-    labelled = label_components(segments, keys)
-    sizes = labelled.groupBy(*keys, "component").agg(
-        F.sum(F.col("r1") - F.col("r0") + 1).alias("px"), F.min(F.struct("r0", "c")).alias("first")
-    )
-    best = sizes.groupBy(*keys).agg(
-        F.min(F.struct((-F.col("px")).alias("loss"), "first", "component")).alias("b"),
-        F.count(F.lit(1)).alias("n_components"),
-        F.sum("px").alias("raw_px"),
-    )
-    stats = best.select(
-        *keys, "n_components", "raw_px", (F.col("raw_px") + F.col("b.loss")).alias("dropped_px"),
-        F.col("b.component").alias("component"),
-    )
-    kept = labelled.join(stats.select(*keys, "component"), [*keys, "component"], "left_semi").drop("component")
-    return kept, stats.drop("component")
+    done = largest_gathered(gather(segments, keys), keys)
+    return spread(done, keys), done.select(*keys, *COUNTS)
+
+
+def prepare_gathered(gathered: DataFrame, keys: Sequence[str], px: int, size: DataFrame) -> DataFrame:
+    """(keys, n_components, dropped_px, raw_px, c[], r0[], r1[]) of gathered masks; see ``prepare``.
+
+    A mask that erosion leaves nothing of keeps its counts and empty arrays.
+    """
+    def work(some: pa.RecordBatch):
+        left = _segments(some.column("parts"))
+        told, kept = _largest(*left, some.num_rows)
+        left = tuple(x[kept] for x in left)
+        if px > 0:
+            left = _sorted(*_eroded(*left, px, _sizes(some.column("__size"))))
+            _, kept = _largest(*left, some.num_rows)
+            left = tuple(x[kept] for x in left)
+        return {"n_components": told["n_components"], "dropped_px": told["dropped_px"], "raw_px": told["raw_px"] - told["dropped_px"]}, *left
+
+    framed = _frames(gathered, keys, size, "left") if px > 0 else gathered
+    return _per_mask(framed, keys, "n_components bigint, dropped_px bigint, raw_px bigint", work)
 
 
 def prepare(segments: DataFrame, keys: Sequence[str], px: int, size: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -189,9 +375,8 @@ def prepare(segments: DataFrame, keys: Sequence[str], px: int, size: DataFrame)
     Counts are (keys, n_components, dropped_px, raw_px), raw_px before the erosion.  Erosion can
     pinch a mask in two, hence the second pass.
     """
-    kept, stats = largest_component(segments, keys)
-    counted = stats.select(*keys, "n_components", "dropped_px", (F.col("raw_px") - F.col("dropped_px")).alias("raw_px"))
-    return (largest_component(erode(kept, keys, px, size), keys)[0] if px > 0 else kept), counted
+    done = prepare_gathered(gather(segments, keys), keys, px, size)
+    return spread(done, keys), done.select(*keys, "n_components", "dropped_px", "raw_px")
 
 
 def quad_segments(cells: DataFrame, keys: Sequence[str], h: str, w: str) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..operators import masks as K
 from ..operators import plate as P
-from ..session import settle
 from .registry import query, r6
 
 H, CELL_W = 40, 400
@@ -62,8 +61,7 @@ CAST(sum(px) - max(px) AS BIGINT) AS dropped_px FROM comp GROUP BY doc_id""",
 )
 def largest_component(t):
     """Components of every text mask: how many, and what the largest leaves out."""
-    seg = K.decode_rle(text_masks(t), ["doc_id"], "counts")
-    return K.largest_component(seg, ["doc_id"])[1]
+    return K.largest_gathered(K.gather_rle(text_masks(t), ["doc_id"], "counts"), ["doc_id"]).select("doc_id", *K.COUNTS)
 
 
 @query(
@@ -80,8 +78,9 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS area FROM need JOIN got USING (doc_id
 def erode(t):
     m = text_masks(t)
     size = t.documents.select("doc_id", F.lit(H).cast("bigint").alias("h"), (F.floor(F.length("text") / H) + 1).alias("w"))
-    seg = K.erode(K.decode_rle(m, ["doc_id"], "counts"), ["doc_id"], 1, size)
-    return seg.groupBy("doc_id").agg(F.sum(F.col("r1") - F.col("r0") + 1).alias("area"))
+    left = K.erode_gathered(K.gather_rle(m, ["doc_id"], "counts"), ["doc_id"], 1, size)
+    rows = F.aggregate(F.zip_with("r0", "r1", lambda a, b: b - a + 1), F.lit(0).cast("bigint"), lambda s, n: s + n)
+    return left.select("doc_id", rows.alias("area"))
 
 
 ASSIGN = f"""{COMPONENTS}, big AS (SELECT node.* FROM node JOIN lab USING (id) JOIN large USING (doc_id, l)),
@@ -107,8 +106,9 @@ judged AS (
 def placed(t):
     """Largest components of text masks, moved to the plate spot their id picks, with the fitted plate's labels."""
     spot_r, spot_c = F.col("doc_id") % 4, F.floor(F.col("doc_id") / 4) % 7
-    whole = K.decode_rle(text_masks(t), ["source", "doc_id"], "counts")
-    seg = settle(K.prepare(whole, ["source", "doc_id"], 0, t.documents)[0]).select(
+    keys = ["source", "doc_id"]
+    whole = K.prepare_gathered(K.gather_rle(text_masks(t), keys, "counts"), keys, 0, t.documents)
+    seg = K.spread(whole, keys).select(
         "source", "doc_id", (F.col("c") + spot_c * CELL_W).alias("c"),
         (F.col("r0") + spot_r * H).alias("r0"), (F.col("r1") + spot_r * H).alias("r1"),
     )

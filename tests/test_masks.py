@@ -170,3 +170,25 @@ def test_plate_model(spark):
     assert cells[cells["name"] == "R0C1"]["index"].iloc[0] == 0 and cells["index"].max() == 21
     w = P.wrong_poses(spark).toPandas()
     assert len(w) == 66 and w[w["pose"] == "flip_col"]["other"].isna().sum() == 1
+
+
+def test_many_masks_are_cleaned_at_once(spark):
+    """Equal keys draw one mask, masks do not touch each other, and no task works mask by mask."""
+    rng = np.random.default_rng(4)
+    ms = [rng.random((9, int(w))) < 0.45 for w in rng.integers(1, 12, 2300)]
+    rows = [(k, 9, m.shape[1], [int(x) for x in to_rle(m)]) for k, m in enumerate(ms)] + [(-1, 9, 4, [36]), (-2, 9, 4, None), (-3, 9, 4, [0, 2, 7]), (-3, 9, 4, [20, 3])]
+    df = spark.createDataFrame(rows, "id int, h bigint, w bigint, counts array<int>").repartition(1)
+    whole = K.gather_rle(df, ["id"], "counts")
+    stats = K.largest_gathered(whole, ["id"])
+    found = {r["id"]: r for r in stats.collect()}
+    assert not {-1, -2} & set(found)
+    assert (found[-3]["n_components"], found[-3]["raw_px"], found[-3]["dropped_px"]) == (2, 5, 2)
+    for k, m in enumerate(ms):
+        n, px = flood(m)[1], np.bincount(flood(m)[0].ravel())[1:]
+        assert (k in found) == (n > 0)
+        if n:
+            assert (found[k]["n_components"], found[k]["dropped_px"]) == (n, px.sum() - px.max())
+    kept, counted = K.prepare(K.decode_rle(df, ["id"], "counts"), ["id"], 1, df.where("id >= 0"))
+    assert counted.count() == len(found)
+    plans = [x._jdf.queryExecution().toString() for x in (stats, kept, K.erode(K.decode_rle(df, ["id"], "counts"), ["id"], 1, df))]
+    assert not any("InPandas" in x for x in plans)
