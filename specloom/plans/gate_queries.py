@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import folds, gate, masks, patches, sampling
 from ..operators.radiometry import percentile_stretch
+from ..session import settle
 from .mask_queries import COMPONENTS, RUNS, text_masks
 from .registry import query, r6
 from .view_queries import LATIN, SEED, hexkey, latin
@@ -92,7 +93,7 @@ def data_gate_planted(t):
     labels = t.labels.select(F.when(F.col("doc_id") % 5 == 0, -F.col("doc_id") - 1).otherwise(F.col("doc_id")).alias("doc_id"), F.lit(1).alias("quality"))
     seg = masks.decode_rle(text_masks(t), ["doc_id"], "counts")
     size = t.documents.select("doc_id", F.lit(40).alias("h"), (F.floor(F.length("text") / 40) + 1).alias("w"))
-    box = masks.mask_box(seg, ["doc_id"])
+    box = settle(masks.mask_box(seg, ["doc_id"]))
     spoilt = box.withColumn("area", F.col("area") + (F.col("doc_id") % 6 == 0).cast("bigint"))
     stored = t.documents.select("doc_id", (F.col("doc_id") % 22).alias("cell"))
     fresh = t.documents.select("doc_id", F.when(F.col("doc_id") % 8 == 0, -1).otherwise(F.col("doc_id") % 22).cast("bigint").alias("cell"))
@@ -108,7 +109,7 @@ def data_gate_planted(t):
         gate.spectra_finite(emb, "v", 64),
         gate.recomputed_equal(emb, emb.withColumn("x0", F.col("x0") + (F.col("vec_id") % 11 == 0).cast("int")), ["vec_id"], "x0", "spectra are recomputed"),
         gate.boxes_match(spoilt, box, ["doc_id"]),
-        gate.single_component(masks.largest_component(seg, ["doc_id"])[1]),
+        gate.single_component(masks.largest_gathered(masks.gather_rle(text_masks(t), ["doc_id"], "counts"), ["doc_id"])),
         gate.off_border(box.join(size, "doc_id"), "h", "w"),
         gate.recomputed_equal(stored, fresh, ["doc_id"], "cell", "stored assignment matches a fresh one"),
         gate.labels_join(labels, t.documents, "doc_id"),
