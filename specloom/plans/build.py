@@ -54,8 +54,9 @@ def plan_views(captures: DataFrame, cells: DataFrame, masks: DataFrame, settings
     in the cube's layout, in which wells are rasterised as well.
     """
     keys = ["capture", "ann_id"]
-    segments, counted = K.prepare(K.decode_rle(masks, keys, "counts"), keys, settings.erode_px, masks)
-    segments, counted = settle(segments), settle(counted)
+    # One row a mask, its segments as arrays.
+    prepared = settle(K.prepare_gathered(K.gather_rle(masks, keys, "counts"), keys, settings.erode_px, masks))
+    segments, counted = K.spread(prepared, keys), prepared.select(*keys, "n_components", "dropped_px", "raw_px")
     drawn = masks.join(counted, keys, "left").select(*keys, "h", "w", F.coalesce("raw_px", F.lit(0)).alias("raw_px"))
     size = captures.select("capture", "h", "w")
     turned = F.transform("corners", lambda p: F.array(F.get(p, F.lit(1)), F.col("h") - 1 - F.get(p, F.lit(0))))
