@@ -1,10 +1,10 @@
 """Word by word use of the tokenizers library.
 
-A text is cut at single spaces, where neither vocabulary's pieces ever join two sides, and each
-distinct stretch is encoded once per worker. A stretch of plain characters is cut by the
-vocabulary's own word pattern; a single word goes straight to the library's merge model, and several
-are looked up as stretches of their own, so one table holds both. Every other stretch goes through
-the library's whole encoder. The ids are those of encoding the text at once.
+A text of plain characters is cut by the vocabulary's own word pattern, and each distinct word goes
+straight to the library's merge model, once per worker while it is met again. Any other text is cut
+at single spaces, where neither vocabulary's pieces ever join two sides: its plain stretches are cut
+into words likewise, every other stretch goes through the library's whole encoder. The ids are those
+of encoding the text at once.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from tokenizers import Tokenizer
 PLAIN = r"!-~\nÀ-ÖØ-öø-ÿ"  # printable ASCII, line feeds and Latin-1 letters
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 TWO_SPACES = re.compile(r"\s\s")
-MOST = 300_000  # entries of each of the table's two generations
+MOST = 300_000  # entries of each of a table's two generations, unless fewer are asked for
+WORDS, STRETCHES = 150_000, 50_000  # the same of the two tables here: every worker that stays holds them on
 
 
 def byte_letters() -> list[str]:
@@ -31,16 +32,16 @@ def byte_letters() -> list[str]:
 class Known(dict):
     """A table that fills itself and stays bounded: what was not asked for lately is forgotten."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int | None = None):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.older, self.most = make, {}, most or MOST
 
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
         if len(key) <= 64:
-            if len(self) >= MOST:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[key] = value
@@ -61,7 +62,7 @@ class WordTokenizer:
             self.cut = re.compile(f"{marks}| ?[{LETTER}]+| ?[0-9]+| ?[^\\s{LETTER}0-9]+|\\s+(?!\\S)|\\s+").findall
         self.shown = dict(enumerate(byte_letters()))
         self.bytes_of = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
-        self.stretches = Known(self.stretch)
+        self.words, self.stretches = Known(self.word, WORDS), Known(self.stretch, STRETCHES)
 
     def word(self, word: str) -> bytes:
         shown = word.encode().decode("latin-1").translate(self.shown)
@@ -70,20 +71,20 @@ class WordTokenizer:
     def by_library(self, text: str) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in self.whole.encode(text, add_special_tokens=False).ids)
 
+    def plainly(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.cut(text.lower() if self.lower else text)))
+
     def stretch(self, text: str) -> bytes:
-        if "<|" in text or not self.plain(text):
-            return self.by_library(text)
-        words = self.cut(text.lower() if self.lower else text)
-        if words == [text]:
-            return self.word(text)
-        return b"".join(map(self.stretches.__getitem__, words))
+        return self.plainly(text) if self.plain(text) and "<|" not in text else self.by_library(text)
 
     def encode(self, text: str) -> bytes:
+        if not self.lower and TWO_SPACES.search(text):  # runs of white space join across stretches
+            return self.by_library(text)
+        if self.plain(text) and "<|" not in text:
+            return self.plainly(text)
         parts = text.split(" ")
         if self.lower:
             return b"".join(map(self.stretches.__getitem__, parts))
-        if TWO_SPACES.search(text):  # runs of white space join across stretches
-            return self.by_library(text)
         head = self.stretches[parts[0]] if parts[0] else b""
         return head + b"".join([self.stretches[" " + p] for p in parts[1:]])
 

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from sentencepiece import sentencepiece_model_pb2 as proto
 from tokenizers import Tokenizer
 
-from specloom.llm import bitplanes, catalog, packing, pieces
+from specloom.llm import bitplanes, catalog, packing, pieces, wordwise
 from specloom.llm.wordwise import tokenizer
 
 from llm_cases import ODD
@@ -44,6 +44,19 @@ def test_documents_by_word_are_whole(documents):
             assert np.frombuffer(t.encode(text), "<u4").tolist() == t.whole.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_a_word_is_held_once_whatever_stands_beside_it(name, monkeypatch):
+    monkeypatch.setattr(wordwise, "WORDS", 50)
+    t = wordwise.WordTokenizer(name)
+    text = " ".join(f"word{mark}" for mark in (",", ".", ";", "?", "!", ":", ",\n", ".\n") for _ in range(20))
+    assert np.frombuffer(t.encode(text), "<u4").tolist() == t.whole.encode(text, add_special_tokens=False).ids
+    assert len(t.words) <= 12 and not t.stretches
+    for k in range(100):
+        t.encode(f"{'x' * (k % 60)}y{'z' * (k // 60)} and 漢{k}")
+    assert len(t.words) <= 50 and len(t.words.older) <= 50
+    assert np.frombuffer(t.encode(text), "<u4").tolist() == t.whole.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("bits", [False, True])
 @pytest.mark.parametrize("n", [0, 1, 7, 1000, 4097])
 def test_planes_round_trip(bits, n):
