@@ -38,15 +38,18 @@ def auc(
 
 def counted_auc(counts: DataFrame, keys: Sequence[str] = (), n: int | None = None) -> DataFrame:
     """The same from (keys, score, pos, neg), one row per distinct score."""
+    out = counted_wins(counts, keys, n).withColumnsRenamed({"pos": "n_pos", "neg": "n_neg"})
+    pairs = F.col("n_pos").cast("double") * F.col("n_neg").cast("double")
+    return out.select(*keys, "n_pos", "n_neg", F.try_divide("wins", pairs).alias("auc"))
+
+
+def counted_wins(counts: DataFrame, keys: Sequence[str] = (), n: int | None = None) -> DataFrame:
+    """(keys, pos, neg, wins): positives, negatives, and pairs in which the positive is above, ties half."""
     ranked = cumulate(counts, keys, "score", ["pos", "neg"], n)
     wins = F.col("pos").cast("double") * (
         F.col("neg_before").cast("double") + F.col("neg").cast("double") / F.lit(2.0)
     )
-    out = ranked.groupBy(*keys).agg(
-        F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(wins).alias("wins")
-    )
-    pairs = F.col("n_pos").cast("double") * F.col("n_neg").cast("double")
-    return out.select(*keys, "n_pos", "n_neg", F.try_divide("wins", pairs).alias("auc"))
+    return ranked.groupBy(*keys).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum(wins).alias("wins"))
 
 
 def within_group_auc(

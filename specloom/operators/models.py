@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pls import pls_path
 from ..functions.spectral import dot
-from ..session import settle
+from ..session import settle, written
 from . import metrics as M
 from .folds import seeded_key
 from .nested import nested_runs
@@ -157,7 +157,8 @@ def nested_cv(
     for name, (_, p) in vectors.items():
         parts[name] = [(start, start + p)]
         start += p
-    wide = rows.select(ident, group, stratum, "ys", F.concat(*[F.col(c).cast("array<double>") for c, _ in vectors.values()]).alias("x"))
+    # read by every scan behind: labels, matrices, scores
+    wide = written(rows.select(ident, group, stratum, "ys", F.concat(*[F.col(c).cast("array<double>") for c, _ in vectors.values()]).alias("x")), "rows")
     n_folds = (folds.agg(F.max("fold")).first()[0] or 0) + 1
     oof, choices = nested_runs(
         wide, ident, group, stratum, parts, folds.select(F.lit(0).alias("repeat"), group, "fold"),

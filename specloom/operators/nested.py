@@ -6,26 +6,35 @@ a choice of feature ranges, so its matrix is part of the shared one, and a train
 a sum over its groups; the rows are read once to fit and twice to score.  Models number
 runs x outer folds x (inner folds + 1) x representations x component counts whatever the
 number of rows, and ride along with the scoring tasks.
+
+Inner scores, of which a row has one for every model that did not see its group, never become rows:
+tasks write them as packed runs by problem and range, and each range is ranked by itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.pls import pls_path
-from ..session import settle
+from ..session import settle, written
 from . import metrics as M
 from .folds import seeded_key
 from .ordered import position
 
 #: Coefficients that may ride along with the scoring tasks.
 MOST_NUMBERS = 64_000_000
+#: Scores a range of one problem should hold; a range with over four times as many is ranked row by row.
+RANGE_ROWS = 65_536
+#: Bytes of scores a task holds before it hands them on.
+HELD_BYTES = 16 << 20
 
 
 def latin_deals(groups: DataFrame, keys: Sequence[str], stratum: str, group: str, n: int, seed: Column, name: str) -> DataFrame:
@@ -102,10 +111,15 @@ def _matrix(column: pa.Array, n: int) -> np.ndarray:
 
 @dataclass
 class Fits:
-    """Models by (run, outer, inner, representation): component counts, weights (p x counts), intercepts."""
+    """Models by (run, outer, inner, representation): component counts, weights (p x counts), intercepts.
+
+    ``about`` has, by (run, outer, representation) and count, the mean and the deviation of the refit's scores
+    on its training rows, and their number.
+    """
 
     slices: list[np.ndarray]
     found: dict[tuple[int, int, int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
+    about: dict[tuple[int, int, int], dict[int, tuple[float, float, float]]] = field(default_factory=dict)
 
     def only(self, wanted: dict[tuple[int, int], tuple[int, int]]) -> Fits:
         """The chosen model of every (run, outer): the count asked for, or the longest path below it."""
@@ -166,19 +180,24 @@ def fit_all(
                     # the discriminant of two one-hot columns is twice the label's score, less one
                     w = np.column_stack([np.zeros(len(use)), *[2 * b[:, 0] for b, _ in path.values()]])
                     b = np.array([2 * rate - 1, *[2 * b0[0] - 1 for _, b0 in path.values()]])
+                    mean = g[use, -1] / max(g[-1, -1], 1.0)
+                    spread = np.einsum("ij,ij->j", w, (g[np.ix_(use, use)] / max(g[-1, -1], 1.0) - np.outer(mean, mean)) @ w)
+                    about = np.array([mean @ w + b, np.sqrt(np.maximum(spread, 0.0)), np.full(len(b), g[-1, -1])])
                     yield pa.RecordBatch.from_pylist([{
-                        "run": run, "outer": outer, "inner": inner, "rep": rep, "counts": [0, *path], "w": w.tobytes(), "b": b.tobytes(),
+                        "run": run, "outer": outer, "inner": inner, "rep": rep, "counts": [0, *path], "w": w.tobytes(), "b": b.tobytes(), "about": about.tobytes(),
                     }], schema=fitted)
 
-    fitted = pa.schema([(c, pa.int32()) for c in ("run", "outer", "inner", "rep")] + [("counts", pa.list_(pa.int32())), ("w", pa.binary()), ("b", pa.binary())])
+    fitted = pa.schema([(c, pa.int32()) for c in ("run", "outer", "inner", "rep")] + [("counts", pa.list_(pa.int32()))] + [(c, pa.binary()) for c in ("w", "b", "about")])
     spread = sent.repartition(len(runs), "run").sortWithinPartitions("run")
-    got = spread.mapInArrow(fit, "run int, outer int, inner int, rep int, counts array<int>, w binary, b binary")
-    found = {}
+    got = spread.mapInArrow(fit, "run int, outer int, inner int, rep int, counts array<int>, w binary, b binary, about binary")
+    found, about = {}, {}
     for r in got.collect():  # bounded by MOST_NUMBERS; an iterator would run one partition at a time
         counts = np.array(r["counts"])
         w = np.frombuffer(bytes(r["w"])).reshape(-1, len(counts))
         found[r["run"], r["outer"], r["inner"], r["rep"]] = counts, w, np.frombuffer(bytes(r["b"]))
-    return Fits(slices, found)
+        if r["inner"] == -1:
+            about[r["run"], r["outer"], r["rep"]] = dict(zip(r["counts"], np.frombuffer(bytes(r["about"])).reshape(3, -1).T.tolist(), strict=True))
+    return Fits(slices, found, about)
 
 
 def scored(rows: DataFrame, ident: str, group: str, places: DataFrame, fits: Fits, runs: Sequence[tuple[int, int]]) -> DataFrame:
@@ -223,6 +242,137 @@ def scored(rows: DataFrame, ident: str, group: str, places: DataFrame, fits: Fit
     return asked.mapInArrow(run_over, f"{kinds}, run int, outer int, inner int, rep int, n int, y int, score double")
 
 
+PROBLEM = ["run", "outer", "rep", "comps"]
+PACKED = "run int, outer int, rep int, comps int, range int, n int, pos binary, neg binary"
+PACKED_ROWS = pa.schema([(c, pa.int32()) for c in (*PROBLEM, "range", "n")] + [("pos", pa.binary()), ("neg", pa.binary())])
+
+
+def range_cuts(about: tuple[float, float, float], most: int) -> np.ndarray:
+    """Scores that cut a problem into ranges of about ``most`` rows, were they normal; without cuts, all is one range."""
+    mean, deviation, n = about
+    parts = int(-(-n // most))
+    if parts < 2 or not (np.isfinite(mean) and np.isfinite(deviation) and deviation > 0):
+        return np.empty(0)
+    return np.array([mean + deviation * NormalDist().inv_cdf(k / parts) for k in range(1, parts)])
+
+
+def packed_scores(rows: DataFrame, group: str, places: DataFrame, fits: Fits, runs: Sequence[tuple[int, int]], most: int = RANGE_ROWS) -> DataFrame:
+    """Scores as ``scored`` has them for counts over 0, packed by problem (run, outer, rep, comps), range and label."""
+
+    def run_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, cuts = {}, 0, {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            out = []
+            for (run, outer, rep, counts), parts in held.items():
+                scores, y = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+                pos, neg = scores[y == 1].T.copy(), scores[y == 0].T.copy()
+                for c, n in enumerate(counts):
+                    at = run, outer, rep, n
+                    if at not in cuts:
+                        cuts[at] = range_cuts(fits.about[run, outer, rep].get(n, (0.0, 0.0, 0.0)), most)
+                    if not len(cuts[at]):
+                        out.append((*at, 0, len(pos[c]) + len(neg[c]), pos[c].tobytes(), neg[c].tobytes()))
+                        continue
+                    of = [np.searchsorted(cuts[at], v[c], "right") for v in (pos, neg)]
+                    for k in np.unique(np.concatenate(of)).tolist():
+                        p, q = pos[c][of[0] == k], neg[c][of[1] == k]
+                        out.append((*at, k, len(p) + len(q), p.tobytes(), q.tobytes()))
+                if len(out) >= 1024:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), PACKED_ROWS, strict=True)], schema=PACKED_ROWS)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), PACKED_ROWS, strict=True)], schema=PACKED_ROWS)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, ys = _matrix(batch.column(1), batch.num_rows), _matrix(batch.column(2), batch.num_rows)
+            of: dict = {}
+            for place, g in enumerate(batch.column(0).to_pylist()):
+                of.setdefault(g, []).append(place)
+            for mine in of.values():
+                some = x[mine]
+                for at in batch.column(3)[mine[0]].as_py():
+                    y = ys[mine, runs[at["run"]][1]]
+                    for rep, use in enumerate(fits.slices):
+                        if (at["run"], at["outer"], at["inner"], rep) in fits.found:
+                            counts, w, b = fits.found[at["run"], at["outer"], at["inner"], rep]
+                            scores = some[:, use] @ w[:, counts > 0] + b[counts > 0] + 0.0  # no negative zero
+                            held.setdefault((at["run"], at["outer"], rep, tuple(counts[counts > 0].tolist())), []).append((scores, y))
+                            size += scores.nbytes
+                    if size >= HELD_BYTES:
+                        yield from told()
+                        held, size = {}, 0
+        yield from told()
+
+    asked = rows.join(places, group).select(group, F.col("x").cast("array<double>"), F.col("ys").cast("array<double>"), "places")
+    return asked.mapInArrow(run_over, PACKED)
+
+
+RANGE = ["run", "outer", "rep", "comps", "range"]
+RANKED_ROWS = pa.schema([(c, pa.int32()) for c in RANGE] + [("pos", pa.int64()), ("neg", pa.int64()), ("wins", pa.float64())])
+
+
+def range_wins(packed: DataFrame, most: int) -> DataFrame:
+    """(problem, range, pos, neg, wins) of every range; ``most`` bounds the scores one task holds for one range."""
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pos, neg, out = None, [], [], []
+
+        def solved() -> tuple:
+            p, q = np.frombuffer(b"".join(pos)), np.sort(np.frombuffer(b"".join(neg)))
+            wins = (np.searchsorted(q, p, "left").sum() + np.searchsorted(q, p, "right").sum()) / 2.0
+            return (*now, len(p), len(q), float(wins))
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), RANKED_ROWS, strict=True)], schema=RANKED_ROWS)
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True)
+            for k, key in enumerate(keys):
+                if key != now:
+                    if now is not None:
+                        out.append(solved())
+                    now, pos, neg = key, [], []
+                    if len(out) >= 4096:
+                        yield batch_of(out)
+                        out = []
+                pos.append(batch.column(5)[k].as_py())
+                neg.append(batch.column(6)[k].as_py())
+        if now is not None:
+            out.append(solved())
+            yield batch_of(out)
+
+    large = packed.groupBy(*RANGE).agg(F.sum(F.col("n").cast("bigint")).alias("n")).where(F.col("n") > most).select(*RANGE)
+    small = packed.drop("n").join(large, RANGE, "left_anti").select(*RANGE, "pos", "neg")
+    kinds = "run int, outer int, rep int, comps int, range int, "
+    ranked = small.repartition(*RANGE).sortWithinPartitions(*RANGE).mapInArrow(rank, kinds + "pos long, neg long, wins double")
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                for label, c in ((1, 5), (0, 6)):
+                    scores = np.frombuffer(batch.column(c)[k].as_py())
+                    line = [pa.array(np.full(len(scores), batch.column(i)[k].as_py(), np.int32)) for i in range(5)]
+                    yield pa.RecordBatch.from_arrays([*line, pa.array(np.full(len(scores), label, np.int32)), pa.array(scores)], names=[*RANGE, "y", "score"])
+
+    listed = packed.join(large, RANGE, "left_semi").select(*RANGE, "pos", "neg").mapInArrow(unpacked, kinds + "y int, score double")
+    return ranked.unionByName(M.counted_wins(M.score_counts(listed, RANGE, "y", "score"), RANGE))
+
+
+def inner_aucs(rows: DataFrame, group: str, places: DataFrame, fits: Fits, runs: Sequence[tuple[int, int]], most: int = RANGE_ROWS) -> DataFrame:
+    """(run, outer, rep, comps, n_pos, n_neg, auc): Mann-Whitney AUC of every problem, as ``metrics.auc`` has it."""
+    packed = written(packed_scores(rows, group, places, fits, runs, most), "scores")
+    across = Window.partitionBy(*PROBLEM).orderBy("range")
+    below = range_wins(packed, 4 * most).withColumn("below", F.sum("neg").over(across) - F.col("neg"))
+    out = below.groupBy(*PROBLEM).agg(
+        F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("wins") + F.col("pos").cast("double") * F.col("below").cast("double")).alias("wins")
+    )
+    pairs = F.col("n_pos").cast("double") * F.col("n_neg").cast("double")
+    return out.select(*PROBLEM, "n_pos", "n_neg", F.try_divide("wins", pairs).alias("auc"))
+
+
 def nested_runs(
     rows: DataFrame, ident: str, group: str, stratum: str, parts: dict[str, list[tuple[int, int]]], folds: DataFrame,
     runs: Sequence[tuple[int, int]], n_folds: int, n_inner: int, grid: Sequence[int], seed: int,
@@ -263,8 +413,7 @@ def nested_runs(
     fits = fit_all(grams, members, group, p, k, runs, slices, n_folds, n_inner, grid)
 
     inside = placed.select(group, F.filter("places", lambda a: a["inner"] >= 0).alias("places"))
-    tried = scored(rows, ident, group, inside, fits, runs).where("n > 0").withColumnRenamed("n", "comps")
-    table = M.auc(tried, "y", "score", ["run", "outer", "rep", "comps"]).where("auc IS NOT NULL AND n_pos + n_neg >= 10")
+    table = inner_aucs(rows, group, inside, fits, runs).where("auc IS NOT NULL AND n_pos + n_neg >= 10")
     pick = F.min(F.struct((-F.col("auc")).alias("loss"), F.col("comps").alias("n"), "rep")).alias("b")
     # one row a run and outer fold
     best = {(r["run"], r["outer"]): (r["b"]["rep"], r["b"]["n"], -r["b"]["loss"]) for r in table.groupBy("run", "outer").agg(pick).collect()}

@@ -139,3 +139,25 @@ def test_runs_without_rows_or_choice(spark):
     got = oof.collect()
     assert len(got) == 16 and all(abs(r["score"] - 1) < 1e-9 and r["pred"] == 1 and r["threshold"] == 0.5 for r in got)
     assert all(r["inner_auc"] is None and r["n"] == 1 for r in choices.collect())
+
+
+def test_packed_inner_scores_rank_as_rows_do(spark):
+    """Ranges cut at good and bad places, ranges too large for a task, ties, one class only."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(400, 3)), 1)
+    x[:150] = x[0]  # one score for many rows
+    ys = np.column_stack([rng.integers(0, 2, 400), np.ones(400, int)])
+    data = [(i, i % 5, x[i].tolist(), ys[i].tolist()) for i in range(400)]
+    rows = spark.createDataFrame(data, "id long, g int, x array<double>, ys array<int>")
+    runs, slices = [(0, 0), (0, 1)], [np.arange(2), np.arange(1, 3)]
+    places = spark.createDataFrame([(g, [(r, o, (g + o) % 2) for r in range(2) for o in range(3) if o != g % 3]) for g in range(5)], "g int, places array<struct<run: int, outer: int, inner: int>>")
+    found = {(r, o, i, s): (np.array([0, 2, 4]), rng.normal(size=(2, 3)), rng.normal(size=3)) for r in range(2) for o in range(3) for i in range(2) for s in range(2)}
+    about = {(r, o, s): {2: (0.0, 1.0, 400.0), 4: (0.0, 0.0 if s else 1e-3, 400.0)} for r in range(2) for o in range(3) for s in range(2)}
+    fits = NE.Fits(slices, found, about)
+    tried = NE.scored(rows, "id", "g", places, fits, runs).where("n > 0").withColumnRenamed("n", "comps")
+    want = sorted(map(tuple, M.auc(tried, "y", "score", NE.PROBLEM).collect()))
+    for most in (NE.RANGE_ROWS, 40, 7):
+        assert sorted(map(tuple, NE.inner_aucs(rows, "g", places, fits, runs, most).collect())) == want
+    packed = NE.packed_scores(rows, "g", places, fits, runs, 40)
+    assert packed.count() < tried.count() / 4 and packed.agg({"n": "sum"}).first()[0] == tried.count()
+    assert packed.select("range").distinct().count() > 5
