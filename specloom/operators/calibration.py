@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import exposure_us
 from . import radiometry as R
+from .ordered import level_percentile
 
 TRANSMITTANCE_KINDS = ("dark_sample", "dark_white", "white")
 REFLECTANCE_KINDS = ("dark",)
@@ -81,11 +82,11 @@ def reflectance_bundle(catalog: DataFrame, days: DataFrame) -> DataFrame:
 def median_frames(lines: DataFrame, row: str, vector: str) -> DataFrame:
     """(folder, row, frame[]): medians over the lines that are not blank, all captures at once.
 
-    Counts of a sensor cell take at most as many values as the sensor has levels, which bounds what
-    the built-in exact percentile holds for a cell.
+    Counts of a sensor cell take at most as many values as the sensor has levels, so they are counted
+    by level first.
     """
     cells = R.long_bands(lines.where(~R.is_blank(vector)), vector, "folder", row)
-    return R.to_frame(cells.groupBy("folder", row, "band").agg(F.percentile("x", 0.5).alias("m")), ["folder", row], "m", "frame")
+    return R.to_frame(level_percentile(cells, ["folder", row, "band"], "x", 0.5, "m"), ["folder", row], "m", "frame")
 
 
 def reference_cells(

@@ -16,7 +16,7 @@ from ..functions.spectral import total
 from ..operators import calibration as C
 from ..operators import radiometry as R
 from ..operators.interpolate import clamp_interpolate
-from ..operators.ordered import exact_percentiles
+from ..operators.ordered import bracketed_percentiles, exact_percentiles, level_percentile
 from ..session import settle, written
 
 # Fixed values.
@@ -51,16 +51,27 @@ def raw_figures(cube: DataFrame, vector: str, full_scale: float) -> DataFrame:
 def open_beam_by_capture(lit: DataFrame, rows: DataFrame, full_scale: float, min_rows: int) -> DataFrame:
     """Median T of the brightest tenth over bands that hardly clip: the light path must read 1.
 
-    ``lit`` holds (capture, set, c[], u[], ok[]): counts, T from the unmasked white, valid cells.
-    Without a usable band ``open_beam`` and ``open_beam_ok`` are NULL.
+    ``lit`` holds (capture, set, k, c[], dark[], white[], ok[]): counts, the unmasked frames, valid cells.
+    Counts are whole, so one scan counts levels and a second one only opens what lies in the brightest
+    tenth; T of a cell takes as many values as the cell has levels.  Without a usable band ``open_beam``
+    and ``open_beam_ok`` are NULL.
     """
-    zipped = F.arrays_zip(F.col("c"), F.col("u"), F.col("ok"))
-    long = lit.select("capture", "set", F.posexplode(zipped).alias("band", "z")).select("capture", "set", "band", F.col("z")["c"].alias("c"), F.col("z")["u"].alias("u"), F.col("z")["ok"].alias("ok"))
-    clip = long.groupBy("capture", "set", "band").agg(F.avg((F.col("c") >= full_scale).cast("double")).alias("clip"))
-    usable = clip.join(rows, ["set", "band"]).where((F.col("clip") <= R.OPEN_BEAM_MAX_CLIP) & (F.col("valid_rows") >= min_rows)).select("capture", "band")
-    cand = long.where("ok").join(usable, ["capture", "band"])
-    bright = cand.groupBy("capture", "band").agg(F.percentile("c", R.OPEN_BEAM_PCT).alias("cut"))  # whole counts: as many values as levels
-    per_band = exact_percentiles(cand.join(bright, ["capture", "band"]).where("c >= cut"), ["capture", "band"], "u", {"m": 0.5}).drop("n")
+    cells = lit.select("*", F.posexplode("c").alias("band", "x"))
+    levels = cells.groupBy("capture", "set", "band", F.get("ok", F.col("band")).alias("ok"), "x").agg(F.count(F.lit(1)).alias("n"))
+    known = F.when(F.col("x").isNotNull(), F.col("n"))
+    bright = levels.groupBy("capture", "set", "band").agg(
+        F.try_divide(F.sum(F.when(F.col("x") >= full_scale, F.col("n")).otherwise(0)), F.sum(known)).alias("clip"),
+        F.percentile(F.when(F.col("ok"), F.col("x")), F.lit(R.OPEN_BEAM_PCT), F.col("n")).alias("cut"),
+    )
+    usable = bright.join(rows, ["set", "band"]).where((F.col("clip") <= R.OPEN_BEAM_MAX_CLIP) & (F.col("valid_rows") >= min_rows) & F.col("cut").isNotNull())
+    by_band = F.map_from_entries(F.collect_list(F.struct("band", "cut")))  # a number a band
+    cuts = usable.groupBy("capture", "set").agg(by_band.alias("at"), F.max("band").alias("last"))
+    cuts = cuts.select("capture", "set", F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.try_element_at("at", i)).alias("cuts"))
+    band = F.col("band")
+    top = lit.join(F.broadcast(cuts), ["capture", "set"]).select("*", F.posexplode("c").alias("band", "x"))
+    top = top.where(F.get("ok", band) & (F.col("x") >= F.get("cuts", band)))
+    u = (F.col("x") - F.get("dark", band)) / F.get("white", band) * F.col("k")
+    per_band = level_percentile(top.select("capture", "band", u.alias("u")).where(~F.isnan("u")), ["capture", "band"], "u", 0.5, "m")
     lo, hi = R.OPEN_BEAM_RANGE
     got = per_band.groupBy("capture").agg(F.count(F.lit(1)).alias("open_beam_bands"), F.percentile("m", 0.5).alias("open_beam"))  # a row a band
     return got.withColumn("open_beam_ok", F.col("open_beam").between(lo, hi))
@@ -74,7 +85,7 @@ def stretch_of_clean(pixels: DataFrame, least: int = PREVIEW_LEAST_CLEAN) -> Dat
     )
     sizes = seen.groupBy("capture").agg(F.count_if("clean").alias("n_clean"))
     every = pixels.groupBy("capture").agg(F.count(F.lit(1)).alias("n_pixels"))
-    pop = seen.join(sizes, "capture").where(F.col("clean") | (F.col("n_clean") < least))
+    pop = seen.join(F.broadcast(sizes), "capture").where(F.col("clean") | (F.col("n_clean") < least))
     cuts = exact_percentiles(pop, ["capture"], "v", {"lo": PREVIEW_LO, "hi": PREVIEW_HI})
     hi = F.when(F.col("hi") <= F.col("lo"), F.col("lo") + 1).otherwise(F.col("hi"))
     return cuts.join(every, "capture").select("capture", F.pow(F.lit(10.0), "lo").alias("stretch_lo"), F.pow(F.lit(10.0), hi).alias("stretch_hi"), (F.col("n") / F.col("n_pixels")).alias("stretch_share"))
@@ -100,9 +111,11 @@ def correct_transmittance(
     Captures of days with a problem in the bundle are left out of the cube; their quality row has it.
     The cube has t[], sat[] and, line by line, n_good, n_above, t_min, t_max, band_mean, clip_frac.
     """
-    sources = settle(R.fill_sources(cells, "row", keys=["set"]))
-    frames = settle(C.set_frames(cells, sources, "row"))
-    about = settle(captures.join(bundle.where("problem IS NULL").select("day", "set", "k"), "day").select("capture", "set", "k", "factor"))
+    # Sensor-sized tables are written, so that Spark knows their size: joined by shuffle on the few captures
+    # or sensor rows, a whole capture would be one task.
+    sources = written(R.fill_sources(cells, "row", keys=["set"]), "sources")
+    frames = written(C.set_frames(cells, sources, "row"), "frames")
+    about = F.broadcast(settle(captures.join(bundle.where("problem IS NULL").select("day", "set", "k"), "day").select("capture", "set", "k", "factor")))  # a row a capture
     lit = cube.join(about, "capture").join(frames, ["set", "row"])
     unmasked = lambda x, i: (x.cast("double") - F.get("dark", i)) / F.get("white", i) * F.col("k")
     lit = lit.withColumn("t", F.transform("c", lambda x, i: F.when(F.get("valid", i), unmasked(x, i)).otherwise(F.lit(NAN))))
@@ -130,7 +143,7 @@ def correct_transmittance(
     told = written(told.drop("valid", "kept"), "transmittance")
     out = told.drop("good")
 
-    spread = exact_percentiles(told.select("capture", F.explode("good").alias("x")), ["capture"], "x", {"p1": 0.01, "median": 0.5, "p99": 0.99}).drop("n")
+    spread = bracketed_percentiles(told.select("capture", F.explode("good").alias("x")), ["capture"], "x", {"p1": 0.01, "median": 0.5, "p99": 0.99}).drop("n")
     in_range = F.avg(F.when(~F.isnan("band_mean"), (F.col("clip_frac") == 0).cast("double")))
     figures = out.groupBy("capture").agg(
         F.countDistinct("line").alias("lines_out"), (F.sum("n_clear") / F.sum(F.size("t"))).alias("valid_unsaturated_frac"),
@@ -138,7 +151,7 @@ def correct_transmittance(
         F.coalesce(in_range, F.lit(0.0)).alias("fully_in_range_frac"),
     ).withColumn("unphysical", F.coalesce(F.col("above_one") > R.UNPHYSICAL_SHARE, F.lit(False)))
     beam_rows = cells.groupBy("set", "band").agg(F.count_if("cell_valid").alias("valid_rows"))
-    raw = lit.select("capture", "set", F.transform("c", lambda x: x.cast("double")).alias("c"), F.transform("c", unmasked).alias("u"), F.col("cell_valid").alias("ok"))
+    raw = lit.select("capture", "set", "k", F.col("c").cast("array<double>").alias("c"), "dark", "white", F.col("cell_valid").alias("ok"))
     quality = captures.select("capture", "day").join(bundle.select("day", "set", "k", "exposures_differ", "problem"), "day", "left")
     for part in (raw_figures(cube, "c", full_scale), figures, spread, open_beam_by_capture(raw, beam_rows, full_scale, min_rows), stretch_of_clean(out, least_clean)):
         quality = quality.join(part, "capture", "left")
@@ -158,7 +171,7 @@ def tape_levels(darksub: DataFrame, tape: DataFrame, pct: float, coverage: float
     rows = rows.join(none, "capture").select("capture", "row", (F.col("enough") | F.col("none")).alias("trusted"))
     on_tape = darksub.join(tape, ["capture", "row", "line"], "left_semi").join(rows.where("trusted"), ["capture", "row"], "left_semi")
     # whole counts: a cell has at most as many values as the sensor has levels
-    known = R.long_bands(on_tape, "c", "capture", "row").groupBy("capture", "row", "band").agg(F.percentile("x", pct).alias("white"))
+    known = level_percentile(R.long_bands(on_tape, "c", "capture", "row"), ["capture", "row", "band"], "x", pct, "white")
     return known, rows
 
 
@@ -172,21 +185,21 @@ def correct_reflectance(
     the tape.  Rows without trusted tape take the white of their neighbours, linear between rows.  A
     capture without any tape is neither cropped nor normalised.  Lines count from the first kept.
     """
-    about = captures.join(bundle.where("problem IS NULL").select("day", F.col("dark").alias("folder")), "day").select("capture", "folder", "factor")
+    about = F.broadcast(captures.join(bundle.where("problem IS NULL").select("day", F.col("dark").alias("folder")), "day").select("capture", "folder", "factor"))  # a row a capture
     lit = cube.join(about, "capture").join(dark_frames, ["folder", "row"])
     below = F.size(F.filter(F.transform("c", lambda x, i: x.cast("double") < F.get("dark", i)), lambda b: b)).cast("long")
     counts = F.transform("c", lambda x, i: F.floor(F.greatest(x.cast("double") - F.get("dark", i), F.lit(0.0))).cast("double"))
     darksub = lit.select("capture", "row", "line", "factor", below.alias("n_below"), counts.alias("c"))
     spots = tape.select("capture", "row", "line").distinct()
     span = spots.groupBy("capture").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.count(F.lit(1)).alias("tape_pixels"))
-    crop = darksub.join(span.select("capture", "first_line", "last_line"), "capture", "left")
+    crop = darksub.join(F.broadcast(span.select("capture", "first_line", "last_line")), "capture", "left")
     crop = crop.where(F.col("first_line").isNull() | F.col("line").between(F.col("first_line"), F.col("last_line")))
 
     known, rows = tape_levels(darksub, spots, pct, coverage)
     spine = darksub.select("capture", "row").distinct()
     bands = spine.select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("band"))
     white = clamp_interpolate(bands, known, ["capture", "band"], "row", "white")
-    white = settle(R.to_frame(white.withColumn("white", F.coalesce("white", F.lit(1.0))), ["capture", "row"], "white", "white"))
+    white = written(R.to_frame(white.withColumn("white", F.coalesce("white", F.lit(1.0))), ["capture", "row"], "white", "white"), "white")
     done = crop.join(white, ["capture", "row"]).select(
         "capture", "row", (F.col("line") - F.coalesce("first_line", F.lit(0))).alias("line"), "factor",
         F.transform("c", lambda x, i: F.coalesce(F.try_divide(x, F.get("white", i)), F.lit(NAN))).alias("r"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import calibration as C
 from ..operators import nearby
 from ..operators import radiometry as R
-from ..session import settle
+from ..session import settle, written
 from . import correction as P
 from .registry import query, r6
 
@@ -152,7 +152,7 @@ def tape(t):
 
 def reflectance_plan(t):
     catalog, captures = inputs(t)
-    dark = settle(R.reference_frame(calibration_lines(t), ["folder", "row"], "c", BANDS, "mean", "dark"))
+    dark = written(R.reference_frame(calibration_lines(t), ["folder", "row"], "c", BANDS, "mean", "dark"), "dark")
     return P.correct_reflectance(cube(t), captures, C.reflectance_bundle(catalog, captures), dark, settle(tape(t)), BANDS, coverage=0.9, full_scale=FULL)
 
 

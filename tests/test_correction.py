@@ -1,6 +1,7 @@
 """Calibration resolution, correction plans and resampling against numpy; near points against brute force."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -99,6 +100,50 @@ def test_transmittance_plan(spark, scene):
     assert math.isclose(q.fully_in_range_frac, 59 / 60) and q.open_beam_ok is False and quality["b"].lines_out == 7
 
 
+def test_open_beam_counts_levels(spark):
+    rng = np.random.default_rng(11)
+    size = (3, 40, 5)  # rows, lines, bands
+    raw = {k: np.floor(rng.normal(1500, 300, size)) for k in "ab"}
+    raw["a"][:, :4, 1] = 4095  # clips too often
+    dark, white, ok = rng.normal(100, 5, (3, 5)), rng.normal(2000, 50, (3, 5)), np.ones((3, 5), bool)
+    white[0, 0], ok[0, 0], ok[:, 3] = 0, False, False
+    rows = [(k, "s", 0.9, a[r, n].tolist(), dark[r].tolist(), white[r].tolist(), ok[r].tolist()) for k, a in raw.items() for r in range(3) for n in range(40)]
+    rows.append(("a", "s", 0.9, None, dark[0].tolist(), white[0].tolist(), ok[0].tolist()))
+    lit = spark.createDataFrame(rows, "capture string, set string, k double, c array<double>, dark array<double>, white array<double>, ok array<boolean>")
+    valid = spark.createDataFrame([("s", b, int(ok[:, b].sum())) for b in range(5)], "set string, band int, valid_rows long")
+    out = P.open_beam_by_capture(lit, valid, 4095, 2)
+    want = {}
+    for k, a in raw.items():
+        per = []
+        for b in (0, 2, 4, *([1] if k == "b" else [])):
+            c, u = a[ok[:, b], :, b], ((a[:, :, b] - dark[:, None, b]) / np.where(ok[:, b], white[:, b], 1)[:, None] * 0.9)[ok[:, b]]
+            per.append(np.median(u[c >= np.quantile(c, 0.9)]))
+        want[k] = len(per), np.median(per)
+    got = {r.capture: r for r in out.collect()}
+    assert {k: r.open_beam_bands for k, r in got.items()} == {k: n for k, (n, _) in want.items()}
+    assert all(math.isclose(got[k].open_beam, m) for k, (_, m) in want.items())
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Generate ") == 2 and not re.search(r"(SortMergeJoin|ShuffledHashJoin) \[capture", plan)  # cells are opened twice, and never joined by shuffle
+    assert P.open_beam_by_capture(lit, valid, 4095, 4).count() == 0
+
+
+def test_no_capture_is_one_task(spark, scene, monkeypatch):
+    cal, raw = scene
+    catalog = spark.createDataFrame([("dark_sample", None, "dark_sample/50k"), ("dark_white", None, "dark_white/2k"), ("white", None, "white/2k"), ("dark", None, "d")], CATALOG)
+    captures = spark.createDataFrame([("a", 1, 1.0), ("b", 1, 0.7)], "capture string, day int, factor double")
+    lines = spark.createDataFrame([row for k, a in cal.items() for row in lines_of(k, a)], "folder string, row int, line int, c array<double>")
+    cube = spark.createDataFrame([row for k in "ab" for row in lines_of(k, raw)], "capture string, row int, line int, c array<double>")
+    plans, write = {}, P.written
+    monkeypatch.setattr(P, "written", lambda df, tag: plans.update({tag: df._jdf.queryExecution().sparkPlan().toString()}) or write(df, tag))
+    bundle = C.transmittance_bundle(catalog, captures)
+    P.correct_transmittance(cube, captures, bundle, C.reference_cells(lines, bundle, "row", "c"), 8)
+    dark = spark.createDataFrame([("d", r, [0.0] * 8) for r in range(6)], "folder string, row int, dark array<double>")
+    tape = cube.select("capture", "row", "line")
+    P.correct_reflectance(cube, captures, C.reflectance_bundle(catalog, captures), dark, tape, 8)
+    for tag in ("transmittance", "reflectance"):
+        assert "Join [capture" in plans[tag] and not re.search(r"(SortMergeJoin|ShuffledHashJoin) \[(capture#\d+\]|set#)", plans[tag])
+
+
 def test_written_cubes_replace_only_their_captures(spark, scene, tmp_path):
     rows = [("a", 0, 0, [1.0, math.nan]), ("b", 0, 0, [2.0, 3.0])]
     df = spark.createDataFrame(rows, "capture string, row int, line int, t array<double>")
