@@ -11,6 +11,7 @@ import itertools
 import re
 from collections import Counter
 from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,10 @@ from .common import LOWEST, Rows, id_and_text, texts
 UNKNOWN = "und"
 #: Share of correctly told held-out texts whose gap lies below the band of ambiguity.
 BAND_QUANTILE = 0.01
-#: Fewer held-out texts than this below the quantile cannot place it; then the band is ``PLAIN_BAND``.
-LEAST_BELOW, PLAIN_BAND = 3, 0.02
+#: Fewer held-out texts than this below the quantile do not place it by one of them: it is smoothed over resamples.
+LEAST_BELOW = 3
+#: The band where no held-out text is told, so that there is no gap to measure.
+PLAIN_BAND = 0.02
 ASCII_LETTER = re.compile(rb"[A-Za-z]").search
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789\n\t\r", b"abcdefghijklmnopqrstuvwxyz             ")
 
@@ -127,6 +130,21 @@ def fit(labels: list[str], features: np.ndarray, dims: int, ridge: float = 0.05)
     return Model(names, code, weights.astype(np.float32), (bias - mean @ weights).astype(np.float32), trust.astype(np.float32), dims)
 
 
+def low_quantile(gaps: list[float], quantile: float) -> float:
+    """The ``quantile`` by its lower neighbour, or with under ``LEAST_BELOW`` gaps below it the geometric mean of that over all resamples.
+
+    Too few gaps for any to lie below the quantile: the least's share is taken to fall off in proportion down to 0.
+    """
+    n = len(gaps)
+    if n * quantile >= LEAST_BELOW:
+        return float(np.quantile(gaps, quantile, method="lower"))
+    rank, share = int(quantile * (n - 1)) + 1, np.arange(n + 1) / n
+    # chance that a resample has ``rank`` of its n draws among the i least gaps, for each i
+    within = 1 - sum(comb(n, j) * share**j * (1 - share) ** (n - j) for j in range(rank))
+    logs = np.log(np.maximum(np.sort(np.array(gaps, np.float64)), np.finfo(np.float32).eps))
+    return float(np.exp(np.diff(within) @ logs)) * min(1.0, quantile * (n + 1))
+
+
 def band(labels: list[str], features: np.ndarray, dims: int, quantile: float = BAND_QUANTILE, folds: int = 4) -> float:
     """The ``quantile`` of the gaps of correctly told texts, each told by a fit without its fold of the sample."""
     seen, fold = Counter(), np.zeros(len(labels), int)
@@ -142,7 +160,7 @@ def band(labels: list[str], features: np.ndarray, dims: int, quantile: float = B
             best, _, gap = model.predict(features[out])
             right = np.array([model.labels[b] for b in best]) == np.array(labels)[out]
             told.extend(gap[right & np.isfinite(gap)])
-    return float(np.quantile(told, quantile, method="lower")) if len(told) * quantile >= LEAST_BELOW else PLAIN_BAND
+    return low_quantile(told, quantile) if told else PLAIN_BAND
 
 
 def train(docs: DataFrame, learn: F.Column, per_label: int = 400, most_labels: int = 200, dims: int = 4096, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:

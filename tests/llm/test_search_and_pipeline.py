@@ -1,5 +1,7 @@
 """The forest against brute force, and the pipeline stage by stage."""
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -112,3 +114,14 @@ def test_first_stage_takes_odd_and_empty_tables(spark, odd, empty, folder):
     unlabelled = odd.select(*columns)
     assert corpus_pipeline.STAGES[0][1](spark, unlabelled, folder).count() == 0  # nothing learned, so no language is told
     assert corpus_pipeline.STAGES[0][1](spark, empty.select(*columns), folder).count() == 0
+
+
+def test_first_stage_measures_the_band_on_small_tables(spark, folder):
+    rng = random.Random(9)
+    words = {x: ["".join(rng.choices(a, k=rng.randrange(2, 7))) for _ in range(60)] for x, a in (("a", "abcdefghijk"), ("b", "lmnopqrstuv"))}
+    said = lambda lang, n: " ".join(rng.choices(words[lang], k=n))
+    rows = [(i, said(lang, rng.randrange(20, 80)), lang) for i, lang in enumerate("ab" * 60)]
+    rows += [(1000 + i, f"{said('a', 30)} {said('b', 30)}", None) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").select("*", F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    left = [r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, docs, folder).collect()]
+    assert sum(i < 1000 for i in left) >= 118 and sum(i >= 1000 for i in left) <= 10

@@ -1,6 +1,8 @@
 """Fingerprints, language, chat, personal data, repeats and sketches against brute force."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -127,6 +129,31 @@ def test_band_of_small_samples():
     assert language.band([], x[:0], 16) == language.band(["a", "b", "b"], x[:3], 16) == language.band(["a"] * 8, x, 16) == language.PLAIN_BAND
 
 
+def test_low_quantile_over_all_resamples():
+    rng = np.random.default_rng(4)
+    for n, quantile in ((1, 0.01), (2, 0.01), (3, 0.6), (4, 0.3), (5, 0.5), (6, 0.1)):
+        gaps = rng.random(n).tolist()
+        drawn = [np.quantile(x, quantile, method="lower") for x in itertools.product(gaps, repeat=n)]
+        assert math.isclose(language.low_quantile(gaps, quantile), np.exp(np.log(drawn).mean()) * min(1, quantile * (n + 1)))
+    for n in (300, 301, 1000):
+        gaps = rng.random(n).tolist()
+        assert language.low_quantile(gaps, 0.01) == np.quantile(gaps, 0.01, method="lower")
+    assert 0 <= language.low_quantile([0.0, 0.0, 0.5], 0.01) < 1e-6
+
+
+def test_band_of_small_samples_is_measured():
+    def sampled(shared, n):
+        rng = random.Random(6)
+        words = {k: ["".join(rng.choices(a, k=4)) for _ in range(40)] for k, a in (("a", "abcdefgh"), ("b", "ijklmnop"), ("both", "abcijk"))}
+        labels = sorted("ab" * n)
+        texts = [" ".join(rng.choices(words["both"] if rng.random() < shared else words[x], k=1)[0] for _ in range(40)) for x in labels]
+        return labels, np.array([language.ngram_counts(t.encode(), 4096) for t in texts])
+
+    for n in (3, 10, 40, 100):
+        far, near = (language.band(*sampled(shared, n), 4096) for shared in (0.0, 0.8))
+        assert far > 1.5 * near and language.PLAIN_BAND not in (far, near), (n, far, near)
+
+
 def test_codewords_stay_apart():
     for n in (2, 3, 4, 5, 9, 40):
         code = language.codewords(n).astype(int)
